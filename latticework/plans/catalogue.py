@@ -562,9 +562,9 @@ def grid_crop(spark, sf):
     return grid.flatten(grid.crop(cube(spark), 2, 3), 8, 8)
 
 
-@register(f"WITH {CUBE} SELECT i // 4 AS i, j // 4 AS j, k // 4 AS k, round(avg(v), 5) AS v FROM cells GROUP BY 1, 2, 3")
+@register(f"WITH {CUBE} SELECT i // 4 AS i, j // 4 AS j, k // 4 AS k, round(avg(v) + 1e-9, 5) AS v FROM cells GROUP BY 1, 2, 3")
 def grid_block_mean(spark, sf):
-    return grid.block_mean(cube(spark), "v", 4).withColumn("v", F.round("v", 5))
+    return grid.block_mean(cube(spark), "v", 4).withColumn("v", F.round(F.col("v") + 1e-9, 5))
 
 
 @register(f"WITH {CUBE}, o AS (SELECT a.d AS a, b.d AS b, c.d AS c FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d)) SELECT (i + a + 8) % 8 AS i, (j + b + 8) % 8 AS j, (k + c + 8) % 8 AS k, round(sum(v) / 27, 6) AS v FROM cells, o GROUP BY 1, 2, 3")
