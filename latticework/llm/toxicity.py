@@ -87,7 +87,8 @@ def class_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndar
         return pdf.iloc[:1].assign(n=[sum(np.frombuffer(x, np.int64) for x in pdf.n).tobytes()], c=[sum(np.frombuffer(x, np.int64) for x in pdf.c).tobytes()])
 
     schema = "k int, n binary, c binary"
-    rows = docs.join(known, "doc_id").select("text", "y").mapInArrow(count, schema).groupBy("k").applyInPandas(add, schema).collect()
+    # labels grow with the documents, so the join is a sort-merge join at every size
+    rows = docs.join(known.hint("merge"), "doc_id").select("text", "y").mapInArrow(count, schema).groupBy("k").applyInPandas(add, schema).collect()
     n = sum((np.frombuffer(r.n, np.int64) for r in rows), np.zeros(2, np.int64))
     return n, sum((np.frombuffer(r.c, np.int64) for r in rows), np.zeros(2 * size, np.int64)).reshape(2, size)
 
