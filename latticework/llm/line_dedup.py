@@ -108,5 +108,6 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, keep: list[str] | None = N
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
     removed = F.coalesce(F.size("gone"), F.lit(0))
-    joined = _keyed(docs, keep).join(gone, DOC, "left")
+    # what is deleted grows with the documents, so the join is a sort-merge join at every size
+    joined = _keyed(docs, keep).join(gone.hint("merge"), DOC, "left")
     return joined.select(*(keep or []), "doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(removed).alias("n_removed"), text.alias("text"))
