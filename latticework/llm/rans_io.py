@@ -56,7 +56,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return f.astype(np.uint64)
 
 
-def encode_image(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = 16_384) -> bytes:
+def encode_image(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = 32_768) -> bytes:
     n, width = len(ids), block // LANES
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
@@ -160,8 +160,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "part_start": [start], "n_docs": pa.array([len(ids)], pa.int32()), "n_tokens": [len(blob)], "image": pa.array([made], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                got.append(enc.encode(text) + end)
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"].to_pylist()), strict=True):
+                got.append(own + end)
                 ids.append(doc_id or 0)
                 nulls.append(doc_id is None)
                 held += len(got[-1]) // 4

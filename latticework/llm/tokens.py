@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: The cut of the byte-level BPE, for the characters that _PLAIN leaves.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -27,32 +26,55 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Bytes of little-endian unsigned 32-bit ids. The piece cache holds ``limit`` pieces at most."""
+    """Bytes of little-endian unsigned 32-bit ids; the look-up holds ``limit`` pieces at most."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        got = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
+        if len(self.pieces) + len(got) > self.limit:  # the short pieces stay: they are the frequent ones
+            kept = {p: v for p, v in self.pieces.items() if len(p) <= 7}
+            self.pieces.clear()
+            if len(kept) < self.limit // 2:
+                self.pieces.update(kept)
+        self.pieces.update(got)
+        return got
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that none had before are encoded together."""
+        known, cut, todo = self.pieces.get, [], set()
+        for t in texts:
+            if _UNUSUAL.search(t):
+                cut.append((None, None))
+                continue
+            pieces = _PIECE.findall(t)
+            got = list(map(known, pieces))
+            if None in got:
+                todo.update([p for p, g in zip(pieces, got, strict=True) if g is None])
+                cut.append((pieces, got))
+            else:
+                cut.append(([], b"".join(got)))
+        learnt = self._learn(list(todo))
+        out = []
+        for t, (pieces, got) in zip(texts, cut, strict=True):
+            if pieces is None:
+                out.append(self.whole(t))
+            elif pieces:
+                out.append(b"".join([learnt[p] if g is None else g for p, g in zip(pieces, got, strict=True)]))
+            else:
+                out.append(got)
+        return out
 
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self.whole(text)
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            new = list(set(pieces).difference(self.cache))
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = list(set(pieces))
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.asarray(got.ids, "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, pieces))
+        return self.many([text])[0]
 
 
 def encoder(path: str) -> Encoder:
