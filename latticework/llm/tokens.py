@@ -1,9 +1,11 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct piece encoded once.
-
-A byte-level BPE merges only inside the pieces that its pre-tokenizer cuts, so the ids of a text
-are the ids of its pieces, one after another. The library encodes each piece that a worker has not
-met; later meetings are a look-up. Texts with characters whose class differs between regular
-expression engines, or with the text of a special token, go to the library whole.
+"""Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
+
+A byte-level BPE merges only inside the pieces that its pre-tokenizer cuts, and it always cuts before
+a blank or a newline that stands between two other characters. So a text is split there into words
+with the blank before them. The words that a worker has not met in a batch go to the library as one
+text; the ids of each are found again by the number of bytes that every id stands for. Later meetings
+are a look-up. Texts with other white space at a cut, or with the text of a special token, go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ import os
 import re
 from array import array
 
-#: The cut of the byte-level BPE, for the characters that _PLAIN leaves.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Anything but ASCII text, Latin letters and signs, and general punctuation; or a special token.
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]|<\|endoftext\|>")
+import numpy as np
+
+#: Characters that no regular expression engine takes for white space, as the ends of a word have to be.
+_END = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+#: A word after a blank, or after a newline (NUL stands for it).
+_WORD = re.compile(rf"\x00?(?:{_END}|{_END}.*{_END})", re.DOTALL)
+_SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -26,51 +31,79 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Bytes of little-endian unsigned 32-bit ids; the look-up holds ``limit`` pieces at most."""
+    """Bytes of little-endian unsigned 32-bit ids; the look-up holds ``limit`` words at most.
+
+    The look-up has two generations: when the young one is full it becomes the old one, and words of
+    the old one that are met again move back, so the words in use stay.
+    """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.pieces: dict[str, bytes] = {}
+        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, k in vocab.items():  # in a byte-level vocabulary each byte is one character
+            self.n_bytes[k] = len(token)
+        self.first = {"\0": self.whole("\n")}
+        self.young, self.old = dict(self.first), {}
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        got = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
-        if len(self.pieces) + len(got) > self.limit:  # the short pieces stay: they are the frequent ones
-            kept = {p: v for p, v in self.pieces.items() if len(p) <= 7}
-            self.pieces.clear()
-            if len(kept) < self.limit // 2:
-                self.pieces.update(kept)
-        self.pieces.update(got)
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text of all."""
+        parts = ["\n" + w[1:] if w[0] == "\0" else " " + w for w in words]
+        raw = self.whole("".join(parts))
+        ends = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")])
+        at = np.cumsum([len(p.encode()) for p in parts])
+        cut = np.searchsorted(ends, at)
+        if not np.array_equal(ends[cut], at):
+            raise ValueError("the tokenizer does not cut before white space")
+        cut = [0, *((cut + 1) * 4).tolist()]
+        return [raw[a:z] for a, z in zip(cut, cut[1:])]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """What is not a word has no entry."""
+        old = self.old
+        got = {w: old[w] for w in words if w in old}
+        new = [w for w in words if w not in got and _WORD.fullmatch(w) and _SPECIAL not in w]
+        if new:
+            got.update(zip(new, self._new(new), strict=True))
+        if len(self.young) + len(got) > self.limit // 2:
+            self.old, self.young = self.young, dict(self.first)
+        for w, ids in got.items():
+            if len(w) <= self.longest and len(self.young) < self.limit // 2:
+                self.young[w] = ids
         return got
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; pieces that none had before are encoded together."""
-        known, cut, todo = self.pieces.get, [], set()
+    def many(self, texts: list[str], step: int = 64) -> list[bytes]:
+        """The ids of each text, ``step`` texts at a time."""
+        return [ids for k in range(0, len(texts), step) for ids in self._some(texts[k : k + step])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        """The words that no text had before are encoded together."""
+        known, cut, todo = self.young.get, [], set()
         for t in texts:
-            if _UNUSUAL.search(t):
+            t = "\n" + t  # so that every word follows white space; the newline's id is cut off again
+            if "\0" in t or "\n\n\n" in t or "\n\n " in t or t.endswith("\n\n"):
                 cut.append((None, None))
                 continue
-            pieces = _PIECE.findall(t)
-            got = list(map(known, pieces))
+            words = t.replace("\n", " \0").split(" ")[1:]
+            got = list(map(known, words))
             if None in got:
-                todo.update([p for p, g in zip(pieces, got, strict=True) if g is None])
-                cut.append((pieces, got))
+                todo.update([w for w, g in zip(words, got, strict=True) if g is None])
+                cut.append((words, got))
             else:
-                cut.append(([], b"".join(got)))
-        learnt = self._learn(list(todo))
+                cut.append(([], b"".join(got)[4:]))
+        learnt = self._learn(todo)
         out = []
-        for t, (pieces, got) in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self.whole(t))
-            elif pieces:
-                out.append(b"".join([learnt[p] if g is None else g for p, g in zip(pieces, got, strict=True)]))
-            else:
-                out.append(got)
+        for t, (words, got) in zip(texts, cut, strict=True):
+            if words:
+                got = [learnt.get(w) if g is None else g for w, g in zip(words, got, strict=True)]
+                got = None if None in got else b"".join(got)[4:]
+            out.append(self.whole(t) if got is None else got)
         return out
 
     def encode(self, text: str) -> bytes:
