@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
         seen: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"]), strict=True):
                 raw = ids + end
                 n = len(raw) // 4
                 at, stop = 0, n % capacity or min(n, capacity)

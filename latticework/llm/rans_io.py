@@ -160,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "part_start": [start], "n_docs": pa.array([len(ids)], pa.int32()), "n_tokens": [len(blob)], "image": pa.array([made], pa.binary())})
 
         for batch in batches:
-            for doc_id, own in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"].to_pylist()), strict=True):
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"]), strict=True):
                 got.append(own + end)
                 ids.append(doc_id or 0)
                 nulls.append(doc_id is None)

@@ -1,11 +1,13 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
+"""Token ids of whole texts by the ``tokenizers`` library, each distinct word of a batch encoded once.
 
 A byte-level BPE merges only inside the pieces that its pre-tokenizer cuts, and it always cuts before
-a blank or a newline that stands between two other characters. So a text is split there into words
-with the blank before them. The words that a worker has not met in a batch go to the library as one
-text; the ids of each are found again by the number of bytes that every id stands for. Later meetings
-are a look-up. Texts with other white space at a cut, or with the text of a special token, go to the
-library whole.
+a blank or a newline that stands between two other characters. So Arrow splits the texts there into
+words with the blank before them and numbers the distinct ones; only those are looked up or encoded,
+and the ids of all words are gathered by number. The words that a worker has not met go to the library
+as one text; the ids of each are found again by the number of bytes that every id stands for. ASCII
+words of letters, with punctuation after them, go to the same model with the pre-tokenizer's cuts already
+made. Texts with other white space at a cut, or with the text of a special token, go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -15,12 +17,19 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that no regular expression engine takes for white space, as the ends of a word have to be.
 _END = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 #: A word after a blank, or after a newline (NUL stands for it).
 _WORD = re.compile(rf"\x00?(?:{_END}|{_END}.*{_END})", re.DOTALL)
 _SPECIAL = "<|endoftext|>"
+#: A word whose pieces are its letters, with the blank before them, and its punctuation.
+_PLAIN = re.compile(r"\x00?[A-Za-z]+[!-/:-@\[-`{-~]*")
+_AFTER_LETTERS = re.compile(r"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+#: A blank and a newline in the byte-level alphabet.
+_BLANK, _NEWLINE = "\u0120", "\u010a"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -39,9 +48,11 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 700_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.cut = Tokenizer.from_file(path)  # the same model for text that is cut and in the byte-level alphabet
+        self.cut.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():  # in a byte-level vocabulary each byte is one character
@@ -52,25 +63,39 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, from one text of all."""
-        parts = ["\n" + w[1:] if w[0] == "\0" else " " + w for w in words]
-        raw = self.whole("".join(parts))
-        ends = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")])
-        at = np.cumsum([len(p.encode()) for p in parts])
+    def _apart(self, raw: bytes, lengths: list[int]) -> list[bytes]:
+        """The ids of words that have so many bytes each."""
+        ends, at = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")]), np.cumsum(lengths)
         cut = np.searchsorted(ends, at)
         if not np.array_equal(ends[cut], at):
             raise ValueError("the tokenizer does not cut before white space")
         cut = [0, *((cut + 1) * 4).tolist()]
         return [raw[a:z] for a, z in zip(cut, cut[1:])]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text of all."""
+        parts = ["\n" + w[1:] if w[0] == "\0" else " " + w for w in words]
+        return self._apart(self.whole("".join(parts)), [len(p.encode()) for p in parts])
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """The same for words that ``_PLAIN`` matches."""
+        text = (_BLANK + f" {_BLANK}".join(words)).replace(_BLANK + "\0", _NEWLINE + " ")
+        raw = array("I", self.cut.encode_batch_fast([_AFTER_LETTERS.sub(" ", text)], add_special_tokens=False)[0].ids).tobytes()
+        return self._apart(raw, [len(w) + (w[0] != "\0") for w in words])
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """What is not a word has no entry."""
-        old = self.old
-        got = {w: old[w] for w in words if w in old}
-        new = [w for w in words if w not in got and _WORD.fullmatch(w) and _SPECIAL not in w]
-        if new:
-            got.update(zip(new, self._new(new), strict=True))
+        got, plain, new = {}, [], []
+        for w in words:
+            if w in self.old:
+                got[w] = self.old[w]
+            elif _PLAIN.fullmatch(w):
+                plain.append(w)
+            elif _WORD.fullmatch(w) and _SPECIAL not in w:
+                new.append(w)
+        for words, encode in ((plain, self._plain), (new, self._new)):
+            if words:
+                got.update(zip(words, encode(words), strict=True))
         if len(self.young) + len(got) > self.limit // 2:
             self.old, self.young = self.young, dict(self.first)
         for w, ids in got.items():
@@ -78,33 +103,47 @@ class Encoder:
                 self.young[w] = ids
         return got
 
-    def many(self, texts: list[str], step: int = 64) -> list[bytes]:
-        """The ids of each text, ``step`` texts at a time."""
-        return [ids for k in range(0, len(texts), step) for ids in self._some(texts[k : k + step])]
+    def many(self, texts: pa.Array | list[str], step: int = 4_000_000) -> list[bytes]:
+        """The ids of each text, as many texts at a time as have ``step`` bytes, and one at least."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        ends, out, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+            out += self._some(texts.slice(at, stop - at))
+            at = stop
+        return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
+    def _some(self, texts: pa.LargeStringArray) -> list[bytes]:
         """The words that no text had before are encoded together."""
-        known, cut, todo = self.young.get, [], set()
-        for t in texts:
-            t = "\n" + t  # so that every word follows white space; the newline's id is cut off again
-            if "\0" in t or "\n\n\n" in t or "\n\n " in t or t.endswith("\n\n"):
-                cut.append((None, None))
-                continue
-            words = t.replace("\n", " \0").split(" ")[1:]
-            got = list(map(known, words))
-            if None in got:
-                todo.update([w for w, g in zip(words, got, strict=True) if g is None])
-                cut.append((words, got))
-            else:
-                cut.append(([], b"".join(got)[4:]))
-        learnt = self._learn(todo)
-        out = []
-        for t, (words, got) in zip(texts, cut, strict=True):
-            if words:
-                got = [learnt.get(w) if g is None else g for w, g in zip(words, got, strict=True)]
-                got = None if None in got else b"".join(got)[4:]
-            out.append(self.whole(t) if got is None else got)
-        return out
+        newline, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        begun = pc.binary_join_element_wise(newline, texts, nothing)  # every word follows white space; the newline's id is cut off again
+        bad = pc.match_substring(begun, "\0")
+        for cut in ("\n\n\n", "\n\n "):
+            bad = pc.or_(bad, pc.match_substring(begun, cut))
+        bad = pc.or_(bad, pc.ends_with(begun, "\n\n")).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring(begun, "\n", " \0"), " ")
+        coded = split.values.dictionary_encode()
+        code = coded.indices.to_numpy()
+        one = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        words = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # faster than value by value; no word has a blank
+        ids = list(map(self.young.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
+        if new:
+            learnt = self._learn(new)
+            ids = [learnt.get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+        unknown = np.asarray([x is None for x in ids])
+        sizes = np.asarray([len(x) // 4 if x else 0 for x in ids])
+        flat, starts = np.frombuffer(b"".join(x for x in ids if x), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        raw = memoryview(flat[np.repeat(starts[code] - ends[:-1], length) + np.arange(ends[-1])]).cast("B") if ends[-1] else b""
+        # the first part of each text is empty: what stands before its first newline
+        offsets = split.offsets.to_numpy()
+        first, last = offsets[:-1] + 1, offsets[1:]
+        misses = np.concatenate([[0], np.cumsum(unknown[code])])
+        bad |= misses[last] > misses[first]
+        spans = zip(bad.tolist(), (4 * ends[first] + 4).tolist(), (4 * ends[last]).tolist(), strict=True)
+        return [self.whole(texts[i].as_py()) if b else bytes(raw[a:z]) for i, (b, a, z) in enumerate(spans)]
 
     def encode(self, text: str) -> bytes:
         return self.many([text])[0]

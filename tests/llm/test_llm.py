@@ -83,8 +83,8 @@ def test_packing(spark, documents):
 
 def test_encoder_equals_library():
     enc, rng = tokens.Encoder(tokens.default_tokenizer(), 50), np.random.default_rng(5)
-    parts = ["a", " ", " ", "  ", "\n", "\n", "\n\n", "'s", "12", "_", "é", "²", "\t", "The", "<|endoftext|>", "你好", "\u00a0", "\u200b", "…", "\r\n", "\0", "e\u0301", "\x1c", "\x85"]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)]
+    parts = ["a", " ", " ", "  ", "\n", "\n", "\n\n", "'s", "12", "_", "é", "²", "\t", "The", "<|endoftext|>", "你好", "\u00a0", "\u200b", "…", "\r\n", "\0", "e\u0301", "\x1c", "\x85", "Straße", "don't", "l'été", "'", "...", "<|", "_x", "x²", "ªº", "ĸŉ", "µ", "×", "¿qué?", "\u0130"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(9000)]
     assert enc.many(texts) == [enc.whole(t) for t in texts]
 
 
