@@ -6,11 +6,13 @@ names is the same template. Windows of ``window`` canonical tokens of the docume
 with those of the benchmark items. Where a shared stretch starts, the row that found it holds both
 token sequences, and the stretch along that alignment is compared there, token by token:
 
-* ``similarity``: the share of the item's windows that the document has on its alignments (those with
-  at least ``least_share`` of the windows), 0.8 or more;
+* ``similarity``: the share of the item's windows that the document has on any of its alignments,
+  0.8 or more; an inserted or deleted word splits an alignment, and all pieces count;
 * ``slot_consistency``: what stands in the slots must be one substitution. Of the distinct pairs
-  (item value, document value) on these alignments, the share that is left when each item value
-  keeps one document value; 0.8 or more. An exact copy has 1.
+  (item value, document value), the share that is left when each item value keeps one document
+  value; 0.8 or more. An exact copy has 1. A slot is read on the alignments that hold a window
+  around it, of these on the longest ones (most windows), so that a phrase met by chance elsewhere
+  does not speak against a copy; a slot in no window is read on the longest alignments only.
 
 One pass over the texts; what is shuffled is one row for each stretch. The window index of the
 benchmark is broadcast only if its number of rows is at most ``max_broadcast``, and joined by
@@ -56,7 +58,7 @@ def _window(arr: str, at: str | Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(arr, at + j) for j in range(size)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, least_share: float = 0.15, max_broadcast: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, max_broadcast: int = 500_000) -> DataFrame:
     """``doc_id, item_id, similarity, slot_consistency, n_slots`` of every document that holds an item."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", _tokens(F.col("text")).alias("it")).select("item_id", "it", _canonical(F.col("it")).alias("ic"))
     items = items.where(F.col("it")[0] != "").select("item_id", F.transform("it", F.lower).alias("it"), "ic", _hashes(F.col("ic")).alias("ih"))
@@ -86,12 +88,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similar
     seg = F.transform(F.sequence(F.lit(0), F.size("ih") - 1), lambda j: F.when(F.get("dh", d + j) == F.get("ih", j), F.lower(F.get("dt", d + j))))
     hits = hits.select("doc_id", "item_id", "windows", "size", "it", "ic", d.alias("d"), seg.alias("seg"))
     hits = hits.withColumn("qs", F.filter(F.sequence(F.lit(0), F.col("windows") - 1), lambda q: F.forall(F.slice("seg", q + 1, F.col("size")), lambda x: x.isNotNull())))
-    slot = F.filter(F.transform(F.sequence(F.lit(0), F.size("ic") - 1), lambda j: F.struct(F.get("ic", j).alias("kind"), F.get("it", j).alias("item"), F.get("seg", j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
-    # a filter would be pushed into the join's inner loop and take it out of generated code
-    enough = F.size("qs") >= F.greatest(F.lit(1.0), least_share * F.col("windows"))
-    kept = F.when(enough, F.array(F.struct("qs", slot.alias("slots"))))
-    hits = hits.select("doc_id", "item_id", "windows", "d", F.explode_outer(kept).alias("x")).where("x is not null").select("doc_id", "item_id", "windows", "d", "x.qs", "x.slots").distinct()
-    found = hits.groupBy("doc_id", "item_id", "windows").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    held = lambda j: F.exists("qs", lambda q: (q <= j) & (j < q + F.col("size")))
+    slot = F.filter(F.transform(F.sequence(F.lit(0), F.size("ic") - 1), lambda j: F.struct(j.alias("j"), F.get("ic", j).alias("kind"), F.get("it", j).alias("item"), F.get("seg", j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
+    slot = F.transform(slot, lambda x: F.struct(x["j"].alias("j"), F.struct(held(x["j"]).alias("held"), F.size("qs").alias("n")).alias("rank"), F.struct(x["kind"].alias("kind"), x["item"].alias("item"), x["doc"].alias("doc")).alias("pair")))
+    key = ["doc_id", "item_id", "windows"]
+    hits = hits.select(*key, "d", "qs", slot.alias("slots")).distinct()
+    found = hits.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.max(F.size("qs")).alias("most"), F.flatten(F.collect_list("slots")).alias("slots"))
+    found = found.withColumn("similarity", F.round(F.size("qs") / F.col("windows"), 6)).where(F.col("similarity") >= similarity)
+    # from here on only documents that hold an item: the slots of each place, then those of the item
+    read = F.filter("slots", lambda x: x["rank"]["held"] | (x["rank"]["n"] == F.col("most")))
+    places = found.select(*key, "similarity", F.explode_outer(read).alias("x")).groupBy(*key, "similarity", "x.j").agg(F.max("x.rank").alias("best"), F.collect_set("x").alias("xs"))
+    places = places.select(*key, "similarity", F.transform(F.filter("xs", lambda x: x["rank"] == F.col("best")), lambda x: x["pair"]).alias("pairs"))
+    found = places.groupBy(*key, "similarity").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots"))
     n, own = F.size("slots"), F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["item"]))))
-    out = found.select("doc_id", "item_id", F.round(F.size("qs") / F.col("windows"), 6).alias("similarity"), F.round(F.when(n == 0, 1.0).otherwise(own / n), 6).alias("slot_consistency"), n.alias("n_slots"))
-    return out.where((F.col("similarity") >= similarity) & (F.col("slot_consistency") >= consistency))
+    out = found.select("doc_id", "item_id", "similarity", F.round(F.when(n == 0, 1.0).otherwise(own / n), 6).alias("slot_consistency"), n.alias("n_slots"))
+    return out.where(F.col("slot_consistency") >= consistency)

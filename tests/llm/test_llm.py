@@ -68,6 +68,42 @@ def test_decontamination(spark, documents):
     assert decontamination.contaminated(docs(spark, []), item).count() == 0
 
 
+def _brute_similarity(item, doc, window=5):
+    """Share of the item's windows on any alignment with a window that has a literal."""
+    a, b = ([("<number>" if x[0].isdigit() else "<name>" if x[0].isupper() else x) for x in t.split()] for t in (item, doc))
+    windows = range(len(a) - window + 1)
+    found = set()
+    for d in range(-len(a), len(b)):
+        on = [q for q in windows if q + d >= 0 and b[q + d : q + d + window] == a[q : q + window]]
+        if any(x[0] != "<" for q in on for x in a[q : q + window]):
+            found.update(on)
+    return round(len(found) / len(windows), 6)
+
+
+def test_decontamination_of_inserted_and_deleted_words(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("bcdfglmnst"), 6))
+    bench, made, want = [], [], {}
+    for k, size in enumerate((38, 59, 200, 400)):
+        item = [f"N{word()}" if j % 10 == 3 else str(1000 + j) if j % 10 == 6 else word() for j in range(size)]
+        bench.append((k, " ".join(item)))
+        places = [[7], [8], [9], [29], [30], [31], [12], [size // 2], list(range(33, size, 66)), list(range(20, size, 31))]
+        for i, at in enumerate(places):
+            for drop in (False, True):
+                doc = list(item)
+                for p in reversed([p for p in at if p < size]):
+                    doc[p : p + drop] = [] if drop else ["extra"]
+                # elsewhere the document has one window of the item with other slots
+                doc = [word() for _ in range(30)] + doc + [word()] + [f"N{word()}" if j % 10 == 3 else "77" if j % 10 == 6 else x for j, x in enumerate(item)][2:7]
+                made.append((1000 * k + 10 * i + drop, " ".join(doc), None))
+                s = _brute_similarity(bench[k][1], made[-1][1])
+                if s >= 0.8:
+                    want[made[-1][0], k] = s
+    got = decontamination.contaminated(docs(spark, made), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == want and len(want) > 40
+    assert all(r.slot_consistency == 1.0 for r in got)
+
+
 def test_packing(spark, documents):
     got = packing.pack(documents).toPandas()
     enc = tokens.encoder(tokens.default_tokenizer())
