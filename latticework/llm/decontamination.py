@@ -66,10 +66,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similar
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 .. window
     marks = F.array(*[F.lit(x) for x in (NUMBER, UNIT, NAME)])
     index = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    literal = F.size(F.filter(F.slice("ic", F.col("q") + 1, F.col("size")), lambda x: ~F.array_contains(marks, x)))
-    index = index.where(literal > 0)
+    literal = lambda q: F.exists(F.slice("ic", q + 1, F.col("size")), lambda x: ~F.array_contains(marks, x))
+    index = index.where(literal(F.col("q")))
     hashed = F.coalesce(*[F.when(F.col("size") == s, _window("ih", "q", s)) for s in sizes]) if sizes else F.lit(None).cast("long")
-    index = index.withColumn("h", hashed).withColumn("before", F.when(F.col("q") > 0, F.get("ih", F.col("q") - 1)))
+    index = index.withColumn("h", hashed).withColumn("before", F.when((F.col("q") > 0) & literal(F.greatest(F.col("q") - 1, F.lit(0))), F.get("ih", F.col("q") - 1)))
     if index.limit(max_broadcast + 1).count() <= max_broadcast:
         index = F.broadcast(index)
 
@@ -82,7 +82,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similar
     else:
         at = at.select("*", F.explode_outer(F.array(*[_window("dh", "p", s) for s in sizes]) if sizes else F.array().cast("array<bigint>")).alias("h"))
     hits = at.join(index, "h")
-    # only where a stretch starts: the token before differs, or there is none
+    # only where a stretch of indexed windows starts: the token before differs, there is none, or the
+    # window there is of placeholders alone
     hits = hits.where(F.col("before").isNull() | ~F.get("dh", F.col("p") - 1).eqNullSafe(F.col("before")))
     d = F.col("p") - F.col("q")
     seg = F.transform(F.sequence(F.lit(0), F.size("ih") - 1), lambda j: F.when(F.get("dh", d + j) == F.get("ih", j), F.lower(F.get("dt", d + j))))

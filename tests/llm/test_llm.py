@@ -104,6 +104,16 @@ def test_decontamination_of_inserted_and_deleted_words(spark):
     assert all(r.slot_consistency == 1.0 for r in got)
 
 
+def test_decontamination_of_leading_placeholders(spark):
+    tail = "then the baker counts every loaf on the long table before noon"
+    texts = [f"Dr Anna Maria Lopez Smith Jones 12 15 {tail}", f"1 2 3 4 5 6 {tail}", f"first the cook weighs all flour and Ann Bea Cid Dan Eve Flo Gus {tail}"]
+    item = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    made = docs(spark, [(k, f"well {t} indeed", None) for k, t in enumerate(texts)] + [(10, texts[2].replace("weighs", "holds"), None), (11, texts[2].replace("flour and Ann", "flour or Ann"), None)])
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(made, item, similarity=0.6).collect()}
+    want = {(r.doc_id, k): s for r in made.collect() for k, t in enumerate(texts) if (s := _brute_similarity(t, r.text)) >= 0.6}
+    assert got == want and all(got[k, k] == 1.0 for k in range(3)) and (11, 2) in got
+
+
 def test_packing(spark, documents):
     got = packing.pack(documents).toPandas()
     enc = tokens.encoder(tokens.default_tokenizer())
