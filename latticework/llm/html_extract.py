@@ -6,13 +6,14 @@
    host with a third of all pages is as many rows as it has layouts). The streams of a host are
    aligned one after another; a mismatch becomes an optional group, a group on one side that repeats
    on the other a repeated group, text against text a slot. Hot hosts are salted: partial wrappers
-   are aligned again, since a wrapper is itself a stream.
+   are aligned again, since a wrapper is itself a stream. A host with many layouts has several
+   wrappers: when one has become long, the next layouts are aligned into another.
 3. Slots of the wrapper are content or not, by where they stand: inside the article or main element
    if the host has one, and never inside menus, headers, footers, sidebars, notices, adverts, forms
    or reader comments, known by their elements and names.
-4. Each page is matched against its host's wrapper and the text of the content slots is returned. A
-   page that the wrapper does not match (matching is greedy) has its text places judged by the same
-   rules on its own elements.
+4. Each page is matched against its host's wrappers in turn and the text of the content slots of the
+   first that matches is returned. A page that none matches (matching is greedy) has its text places
+   judged by the same rules on its own elements.
 
 Edge cases: null html is the empty page; pages without url share the host ''; rows that repeat a
 page_id are extracted each; a page without content gives the empty string; an empty table no rows.
@@ -43,7 +44,7 @@ NAMES = frozenset("ad ads adv advert adverts advertisement banner breadcrumb bre
 MAIN = frozenset("article main".split())
 _SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 TEXT = "#"
-#: A wrapper longer than this takes in no further layout; such pages are judged by their own elements.
+#: A wrapper longer than this takes in no further layout; the next ones go into another wrapper.
 MAX_ITEMS = 4000
 
 
@@ -157,12 +158,21 @@ def infer(streams: list[list]) -> list:
     """One wrapper for all streams, aligned in the given order."""
     wrapper = streams[0]
     for stream in streams[1:]:
-        if len(wrapper) > MAX_ITEMS:
-            break
         wrapper = align(wrapper, stream)
     return wrapper
 
 
+def infer_all(streams: list[list]) -> list[list]:
+    """Wrappers that take in all streams in the given order; one, unless it becomes long."""
+    out = [streams[0]]
+    for stream in streams[1:]:
+        if len(out[-1]) > MAX_ITEMS:
+            out.append(stream)
+        else:
+            out[-1] = align(out[-1], stream)
+    return out
+
+
 class Region:
     """The open elements while walking over symbols."""
 
@@ -204,9 +214,9 @@ def has_main(symbols) -> bool:
     return any(s[0] == "<" and (s[1:].split(" ")[0] in MAIN) for s in symbols)
 
 
-def slots(wrapper: list) -> list[bool]:
-    """For each text slot, in order, whether it is content."""
-    region, out = Region(has_main(_flat(wrapper))), []
+def slots(wrapper: list, main: bool | None = None) -> list[bool]:
+    """For each text slot, in order, whether it is content; ``main``: whether the host has a main element."""
+    region, out = Region(has_main(_flat(wrapper)) if main is None else main), []
     for s in _flat(wrapper):
         if s == TEXT:
             out.append(region.content())
@@ -263,11 +273,18 @@ def match(wrapper: list, symbols: list[str]) -> list[int] | None:
     return got if run(numbered, 0, got) == len(symbols) else None
 
 
-def text_of(page: str | None, wrapper: list | None, content: list[bool] | None) -> str:
+def ready_for(wrappers: list[list]) -> list[tuple[list, list[bool]]]:
+    """Each wrapper of a host with the content of its slots."""
+    main = any(has_main(_flat(w)) for w in wrappers)
+    return [(w, slots(w, main)) for w in wrappers]
+
+
+def text_of(page: str | None, wrappers: list[tuple[list, list[bool]]]) -> str:
     symbols, texts = tokens(page)
-    places = match(wrapper, symbols) if wrapper else None
-    if places is not None and len(places) == len(texts):
-        return "\n".join(t for t, p in zip(texts, places, strict=True) if content[p])
+    for wrapper, content in wrappers:
+        places = match(wrapper, symbols) if wrapper else None
+        if places is not None and len(places) == len(texts):
+            return "\n".join(t for t, p in zip(texts, places, strict=True) if content[p])
     return "\n".join(t for t, keep in zip(texts, slots(symbols), strict=True) if keep)
 
 
@@ -276,16 +293,16 @@ def host(url: str = "url"):
 
 
 def wrappers(pages: DataFrame, salts: int = 8) -> DataFrame:
-    """``host, wrapper`` (JSON)."""
+    """``host, wrapper`` (JSON, the list of the host's wrappers)."""
 
     def streams(batches):
         for batch in batches:
-            rows = [json.dumps(fold(tokens(p)[0])) for p in batch["html"].to_pylist()]
+            rows = [json.dumps([fold(tokens(p)[0])]) for p in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["host"], pa.array(rows, pa.string())], names=["host", "stream"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pages", "stream"], ascending=[False, True])
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "stream": [json.dumps(infer([json.loads(s) for s in pdf.stream]))], "pages": [pdf.pages.sum()]})
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "stream": [json.dumps(infer_all([w for s in pdf.stream for w in json.loads(s)]))], "pages": [pdf.pages.sum()]})
 
     layouts = pages.select(host().alias("host"), "html").mapInArrow(streams, "host string, stream string").groupBy("host", "stream").agg(F.count("*").alias("pages"))
     schema = "host string, stream string, pages long"
@@ -300,15 +317,15 @@ def extract(pages: DataFrame) -> DataFrame:
     known = Table(wrappers(pages), "wrappers").df
 
     def run(batches):
-        ready: dict[str, tuple[list, list[bool]]] = {}
+        ready: dict[str, list[tuple[list, list[bool]]]] = {}
         for batch in batches:
             out = []
             for page, wrapper in zip(batch["html"].to_pylist(), batch["wrapper"].to_pylist(), strict=True):
                 if wrapper is not None and wrapper not in ready:
                     if len(ready) > 200:
                         ready.clear()
-                    ready[wrapper] = (items := json.loads(wrapper), slots(items))
-                out.append(text_of(page, *ready.get(wrapper, (None, None))))
+                    ready[wrapper] = ready_for(json.loads(wrapper))
+                out.append(text_of(page, ready.get(wrapper, [])))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     # small tables of wrappers are broadcast by their size; otherwise hot hosts are split by AQE

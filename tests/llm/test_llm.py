@@ -150,6 +150,23 @@ def test_topk(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def _name(i):
+    return "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
+
+
+def test_html_layouts_beyond_one_wrapper(spark):
+    def layout(k, divs, body):
+        return "".join(f'<div class="{_name(10000 * k + i)}">t{i}</div>' for i in range(divs)) + body
+
+    def texts(divs):
+        made = [(i, "http://a.com/x", layout(1, divs, "<article>the article</article>")) for i in range(3)]
+        made += [(10 + k, "http://a.com/x", "<div>loose</div>" + layout(k, divs, "")) for k in range(2, 5)]
+        return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+
+    # the host has an article element, whichever wrapper a page belongs to
+    assert texts(1500) == {0: "the article", 1: "the article", 2: "the article", 12: "", 13: "", 14: ""}
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul>{m}</ul></nav><div class="ad-box">buy</div><article><h1>Head {i}</h1>{p}</article><aside>side</aside><div id="comments"><p>me too</p></div><form>go</form><footer>&copy; x</footer></body>'
     rows, want = [], {}
