@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -42,7 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset head title".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 MAIN = frozenset("article main".split())
-_SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+#: Elements whose end tag may be omitted, and the open ones that a new one ends.
+_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TEXT = "#"
 #: A wrapper longer than this takes in no further layout; the next ones go into another wrapper.
 MAX_ITEMS = 4000
@@ -178,24 +180,30 @@ class Region:
 
     def __init__(self, has_main: bool):
         self.stack: list[tuple[str, bool, bool]] = []
+        self.open: Counter[str] = Counter()
         self.has_main = has_main
 
+    def _pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.open[name] -= 1
+        return name
+
     def see(self, symbol: str) -> None:
         if symbol[0] == "<":
             name, *words = symbol[1:].split(" ")
             if name in VOID:
                 return
-            if name in _SELF_CLOSING and self.stack and self.stack[-1][0] == name:
-                self.stack.pop()
+            while self.stack and self.stack[-1][0] in _CLOSES.get(name, ()):
+                self._pop()
             _, main, outside = self.stack[-1] if self.stack else ("", False, False)
             main = main or name in MAIN or "main" in words and name in ("div", "section", "td")
             bad = name in OUTSIDE and not (name == "header" and main) or name not in ("html", "body", "article", "main") and not NAMES.isdisjoint(words)
             self.stack.append((name, main, outside or bad))
+            self.open[name] += 1
         elif symbol[0] == "/":
-            for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 40), -1):
-                if self.stack[i][0] == symbol[1:]:
-                    del self.stack[i:]
-                    break
+            if self.open[symbol[1:]]:
+                while self._pop() != symbol[1:]:
+                    pass
 
     def content(self) -> bool:
         _, main, outside = self.stack[-1] if self.stack else ("", False, False)

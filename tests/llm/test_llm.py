@@ -167,6 +167,20 @@ def test_html_layouts_beyond_one_wrapper(spark):
     assert texts(1500) == {0: "the article", 1: "the article", 2: "the article", 12: "", 13: "", 14: ""}
 
 
+def test_html_omitted_end_tags():
+    def content(page):
+        symbols, texts = html_extract.tokens(page)
+        return [t for t, keep in zip(texts, html_extract.slots(symbols), strict=True) if keep]
+
+    pairs = "".join(f'<dt class="{_name(i)}">a<dd>b' for i in range(30))
+    cells = "".join(f'<tr class="{_name(i)}"><td>a<th>b' for i in range(30))
+    deep = "".join(f'<div class="{_name(i)}">' for i in range(60))
+    for block in (f"<dl>{pairs}</dl>", f"<table>{cells}</table>", deep):
+        assert content(f"<aside>{block}</aside><div>the text</div>") == ["the text"]
+        assert content(f'<div class="ad">{block}</div></section>' + "</div>" * 60 * (block == deep) + "<p>the text") == ["the text"]
+        assert content(f"<article>the text{block}</article><div>later</div>")[-1] != "later"
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul>{m}</ul></nav><div class="ad-box">buy</div><article><h1>Head {i}</h1>{p}</article><aside>side</aside><div id="comments"><p>me too</p></div><form>go</form><footer>&copy; x</footer></body>'
     rows, want = [], {}
