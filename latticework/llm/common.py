@@ -1,20 +1,23 @@
 """What the operators share: reading, scratch tables on the shared folder, connected components.
 
-Scratch tables go to the folder that the session names in ``spark.checkpoint.dir``; a temporary
-folder of this machine is used only where the setting is absent (local tests). Everything that is
-read twice is written there once, so a lost executor costs a re-read, never a re-computation.
+Scratch tables go to the folder that the session names in ``spark.checkpoint.dir``. Only a local session
+may leave it unset (tests); then it is set to a temporary folder, which all its threads share.
+Everything that is read twice is written there once, so a lost executor costs a re-read, never a
+re-computation.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python: bounds a worker's memory for documents of any length.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch handed to Python, whichever is reached first; one row at least.
+ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
 _LEFT: list[str] = []
 
 
@@ -23,15 +26,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that memory does not follow the length of the documents."""
+    """Small Arrow batches, so that a worker's memory follows neither row counts nor lengths of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches whose worker gives free memory back between batches and at the end.
+
+    Workers are used again by later tasks of any operator; what one leaves to its allocators would
+    add up with what the next one needs.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pool, trim = pa.default_memory_pool(), getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+        try:
+            for batch in run(batches):
+                yield batch
+                del batch
+                pool.release_unused()
+        finally:
+            pool.release_unused()
+            trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -1,23 +1,27 @@
 """Language identification: a linear-chain conditional random field over words.
 
-Word features are hashed: character n-grams, the same marked with the word's edges (affixes) and the
-word itself (lexicon). Weights of features and of transitions between the labels of neighbouring
-words are learned together, by gradients from forward-backward, on chains that switch between the
-languages of labelled texts. Marginals by forward-backward label the words of a text; the text gets
-the language that holds the largest share of its words.
-
-Fitting uses a bounded sample (``per_lang`` windows of ``window`` words for each language, chosen by
-hash over all training rows); predicting reads whole texts.
-
-Edge cases: null or letterless text gives ``und`` with score 0; null languages are not learnt from;
-without any labelled row everything is ``und``; ties go to the language that sorts first; rows that
-repeat a doc_id are predicted each; an empty table gives no rows.
+Word features: hashed character n-grams, the same marked with the word's edges (affixes), the word
+itself, and for each language whether its lexicon holds the word. A lexicon is the words that occur in
+``LEXICON_WINDOWS`` or more sampled windows of a language. Weights of features and of transitions between
+the labels of neighbouring words are learned together, by gradients from forward-backward, on chains
+that switch between the languages of labelled texts. Marginals by forward-backward label the words of a
+text; the text gets the language that holds the largest share of its words.
+
+Fitting uses a bounded sample (``per_lang`` windows of ``window`` words for each language, those of the
+smallest hash over all training rows); predicting reads whole texts.
+
+Edge cases: null text, the empty text and text without a letter (Unicode category L) give ``und`` with
+score 0; null languages are not learnt from; without any labelled row everything is ``und``; ties go to
+the language that sorts first; rows that repeat a doc_id are predicted each; an empty table gives no
+rows; other columns are not read, whatever their names. A batch is labelled in slices of some ``step``
+words, one text at least, so memory follows the longest text.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from array import array
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, text_or_empty, tuned
+from .common import held_out, text_or_empty, tidy, tuned
 
-HASH_BITS, UNKNOWN = 17, "und"
-_LETTER = re.compile(r"[^\W\d_]")
+HASH_BITS, UNKNOWN, LEXICON_WINDOWS = 17, "und", 3
+
+
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +59,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     weights = (np.arange(len(b), dtype=np.uint64) - starts[np.minimum(word, len(starts) - 1)].astype(np.uint64)) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)
     mixed = (b.astype(np.uint64) + np.uint64(7)) * weights * (weights ^ np.uint64(0xBF58476D1CE4E5B9))
     whole = np.add.reduceat(np.where(space, np.uint64(0), mixed), starts) if len(starts) else np.empty(0, np.uint64)
-    feats.append((whole >> np.uint64(29)).astype(np.uint32))  # the lexicon feature
+    feats.append((whole >> np.uint64(29)).astype(np.uint32))  # the word itself
     owner.append(np.arange(len(starts)))
     idx = (np.concatenate(feats) * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
     return idx.astype(np.int64), np.concatenate(owner)
@@ -60,16 +67,33 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Crf:
-    """Languages, feature weights [feature, language], transitions and starts, all log-potentials."""
+    """Languages, feature weights [feature, language], transitions and starts, all log-potentials.
+
+    Behind the hashed features there is one for each language, for the words of its lexicon.
+    """
 
     langs: list[str]
     weights: np.ndarray
     trans: np.ndarray
     start: np.ndarray
+    lexicon: dict[str, list[int]] = field(default_factory=dict)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         idx, owner = word_features(words)
-        return np.stack([np.bincount(owner, self.weights[idx, k], len(words)) for k in range(len(self.langs))], 1)
+        known = [(k, i) for i, w in enumerate(words) if w in self.lexicon for k in self.lexicon[w]]
+        if not known:
+            return idx, owner
+        own = np.asarray(known, np.int64)
+        return np.concatenate([idx, (1 << HASH_BITS) + own[:, 0]]), np.concatenate([owner, own[:, 1]])
+
+    def emissions(self, words: list[str], step: int = 16_384) -> np.ndarray:
+        out = np.zeros((len(words), len(self.langs)))
+        for at in range(0, len(words), step):
+            some = words[at : at + step]
+            idx, owner = self.features(some)
+            for k in range(len(self.langs)):
+                out[at : at + step, k] = np.bincount(owner, self.weights[idx, k], len(some))
+        return out
 
     def marginals(self, potentials: np.ndarray, types: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over chains of any lengths side by side.
@@ -128,11 +152,22 @@ def chains(samples: list[tuple[str, str]], length: int = 64, seed: int = 7) -> t
     return [words[i : i + length] for i in range(0, len(words), length)], [labels[i : i + length] for i in range(0, len(labels), length)]
 
 
+def lexicons(samples: list[tuple[str, str]], langs: list[str]) -> dict[str, list[int]]:
+    """For each word that is in a lexicon, the languages that have it there."""
+    counts = [Counter(w for own, text in samples if own == lang for w in set(text.lower().split())) for lang in langs]
+    out: dict[str, list[int]] = {}
+    for k, count in enumerate(counts):
+        for w, n in count.items():
+            if n >= LEXICON_WINDOWS:
+                out.setdefault(w, []).append(k)
+    return out
+
+
 def fit(samples: list[tuple[str, str]], rounds: int = 60, l2: float = 1e-5, rate: float = 0.2) -> Crf:
     """Maximum likelihood by AdaGrad; ``samples`` are (language, text)."""
     langs = sorted({lang for lang, _ in samples})
     k = len(langs)
-    crf = Crf(langs, np.zeros((1 << HASH_BITS, k)), np.zeros((k, k)), np.zeros(k))
+    crf = Crf(langs, np.zeros(((1 << HASH_BITS) + k, k)), np.zeros((k, k)), np.zeros(k), lexicons(samples, langs))
     seqs, labels = chains(samples)
     if k < 2 or not seqs:
         return crf
@@ -141,7 +176,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, l2: float = 1e-5, rate
     types = np.asarray([index.setdefault(w, len(index)) for s in seqs for w in s])
     number = {lang: i for i, lang in enumerate(langs)}
     y = np.asarray([number[x] for s in labels for x in s])
-    idx, owner = word_features(list(index))
+    idx, owner = crf.features(list(index))
     used, inverse = np.unique(idx, return_inverse=True)
     w, gw, gt, gs = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     first = np.cumsum(lengths) - lengths
@@ -199,8 +234,8 @@ def sample_windows(docs: DataFrame, per_lang: int, window: int) -> list[tuple[st
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / n)) for lang, n in sorted(counts.items())])
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003)) / 1_000_003.0
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(1.2 * per_lang / n)) for lang, n in sorted(counts.items())])
+    draw = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1_000_003)) / 1_000_003.0
 
     def cut(batches):
         for batch in batches:
@@ -209,10 +244,12 @@ def sample_windows(docs: DataFrame, per_lang: int, window: int) -> list[tuple[st
                 words = text.split()
                 at = ((doc_id or 0) * 2654435761 % 4294967296) % max(1, len(words) - window + 1)
                 rows.append(" ".join(words[at : at + window]))
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(rows, pa.string())], names=["lang", "text"])
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(rows, pa.string()), batch["draw"]], names=["lang", "text", "draw"])
 
-    rows = known.where(draw < share).select("doc_id", "lang", "text").mapInArrow(cut, "lang string, text string").limit(2 * per_lang * len(counts)).collect()
-    return sorted((r[0], r[1]) for r in rows)
+    rows = known.withColumn("draw", draw).where(F.col("draw") < share).select("doc_id", "lang", "text", "draw").mapInArrow(cut, "lang string, text string, draw double")
+    # in the order of the hash, so what is taken does not depend on scheduling; copies share a draw
+    few = rows.orderBy("draw", "lang", "text").limit(2 * per_lang * len(counts)).collect()
+    return sorted((r[0], r[1]) for r in few)
 
 
 def train(docs: DataFrame, per_lang: int = 1500, window: int = 64) -> Crf:
@@ -220,17 +257,26 @@ def train(docs: DataFrame, per_lang: int = 1500, window: int = 64) -> Crf:
     return fit(sample_windows(docs, per_lang, window))
 
 
-def _label(crf: Crf, texts: list[str | None]):
-    """Word lists, and for each word its marginals and whether it has a letter."""
-    words = [(t or "").lower().split() for t in texts]
+def _label(crf: Crf, texts: list[str | None], step: int = 100_000):
+    """Slices of texts of like length: which, words in each, for each word marginals and whether it has a letter."""
     index: dict[str, int] = {}
-    types = np.asarray([index.setdefault(w, len(index)) for ws in words for w in ws], np.int64)
-    lengths = np.asarray([len(ws) for ws in words], np.int64)
-    kinds = list(index)
-    letters = np.asarray([_LETTER.search(w) is not None for w in kinds], bool)
-    pot = crf.emissions(kinds) if kinds else np.empty((0, len(crf.langs)))
+    number, flat, counts = index.setdefault, array("q"), []
+    for t in texts:
+        words = (t or "").lower().split()
+        counts.append(len(words))
+        flat.extend([number(w, len(index)) for w in words])
+    types, lengths, kinds = np.frombuffer(flat, np.int64), np.asarray(counts, np.int64), list(index)
+    letters = np.asarray([has_letter(w) for w in kinds], bool)
+    pot = crf.emissions(kinds)
     pot[~letters] = 0
-    return words, lengths, crf.marginals(pot, types, lengths), letters[types] if len(types) else np.empty(0, bool)
+    order, first = np.argsort(-lengths, kind="stable"), np.cumsum(lengths) - lengths
+    ends, at = np.cumsum(lengths[order]), 0
+    while at < len(order):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        rows = order[at:stop]
+        own = np.concatenate([types[first[i] : first[i] + lengths[i]] for i in rows])
+        yield rows, lengths[rows], crf.marginals(pot, own, lengths[rows]), letters[own]
+        at = stop
 
 
 def predict(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFrame:
@@ -241,18 +287,18 @@ def predict(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFra
     spark = tuned(docs.sparkSession)
     shared = spark.sparkContext.broadcast(crf)  # 2**HASH_BITS weights a language
 
+    @tidy
     def run(batches):
         model = shared.value
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.langs:
-                _, lengths, gamma, letters = _label(model, batch["text"].to_pylist())
-                row = np.repeat(np.arange(batch.num_rows), lengths)
-                share = np.stack([np.bincount(row, gamma[:, k] * letters, batch.num_rows) for k in range(len(model.langs))], 1)
+            for rows, lengths, gamma, letters in _label(model, batch["text"].to_pylist()) if model.langs else ():
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                share = np.stack([np.bincount(row, gamma[:, k] * letters, len(lengths)) for k in range(len(model.langs))], 1)
                 total = share.sum(1)
                 best = share.argmax(1)
                 for i in np.flatnonzero(total > 0).tolist():
-                    names[i], scores[i] = model.langs[best[i]], min(1.0, share[i, best[i]] / total[i])
+                    names[rows[i]], scores[rows[i]] = model.langs[best[i]], min(1.0, share[i, best[i]] / total[i])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in cols), pa.array(names, pa.string()), pa.array(scores)], names=[*cols, "lang_pred", "score"])
 
     if keep:
@@ -268,14 +314,15 @@ def segments(docs: DataFrame, crf: Crf) -> DataFrame:
     """Runs of words in one language: ``doc_id, first_word, n_words, lang`` (code-switched texts)."""
     shared = tuned(docs.sparkSession).sparkContext.broadcast(crf)
 
+    @tidy
     def run(batches):
         model = shared.value
         for batch in batches:
             rows = []
-            if model.langs:
-                words, lengths, gamma, letters = _label(model, batch["text"].to_pylist())
+            ids = batch["doc_id"].to_pylist()
+            for which, lengths, gamma, letters in _label(model, batch["text"].to_pylist()) if model.langs else ():
                 best, at = np.where(letters, gamma.argmax(1), -1), 0
-                for doc_id, n in zip(batch["doc_id"].to_pylist(), lengths.tolist(), strict=True):
+                for doc_id, n in zip([ids[i] for i in which], lengths.tolist(), strict=True):
                     own, at = best[at : at + n], at + n
                     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), n] if n else [0]
                     rows += [(doc_id, a, z - a, model.langs[own[a]] if own[a] >= 0 else UNKNOWN) for a, z in zip(cuts, cuts[1:], strict=False)]
