@@ -17,8 +17,9 @@ pigeonhole principle.
 5. Connected components of the links; the smallest doc_id names the component.
 
 Edge cases: null text is the empty text, which links to fingerprints of at most ``radius`` ones like
-any other; rows that repeat a doc_id are kept; a null doc_id gets the component of its fingerprint, and
-null where no row with an id has that fingerprint; an empty table gives no rows.
+any other; rows that repeat a doc_id are kept; rows without doc_id link like any other and get the
+component of their fingerprint, null where no row of the component has an id; an empty table gives no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, components, text_or_empty, tuned
+from .common import Table, components, text_or_empty, tidy, tuned
 
-BITS, FOLD, SEED = 64, 14, 42
+BITS, FOLD, SEED, KEY = 64, 14, 42, "latticework_key"
+#: A probe is a row that is dealt, sorted and looked up: worth some three candidates.
+PROBE = 3
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> bytes:
@@ -55,15 +58,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit number."""
+    """``doc_id, th, fp``: a hash of the text, and the fingerprint as a signed 64-bit number."""
     tuned(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for batch in batches:
             raw = b"".join(fingerprint(t, shingle) for t in batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _bit_moments(reps: DataFrame) -> tuple[int, np.ndarray]:
@@ -107,13 +111,22 @@ def bit_groups(n: int, moments: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def n_partitions(n: int) -> int:
-    """Four partitions of 16 bits up to some millions of fingerprints, then three of 21, then two of 32.
+def partition_cost(n: int, m: int, radius: int) -> float:
+    """Estimated candidates and probes of a fingerprint with ``m`` partitions, of evenly spread values.
 
-    A partition value is then shared by a few hundred fingerprints at most on average, while the
-    number of probes for each fingerprint (about 20, 45 and 560) stays the same within a range.
+    The thresholds are the even ones: the sum of T+1 is radius+1. A probe counts as ``PROBE`` candidates.
     """
-    return 4 if n < 1 << 24 else 3 if n < 1 << 31 else 2
+    width, parts = BITS // m, [(radius + 1) // m + (i < (radius + 1) % m) for i in range(m)]
+    probes = sum(math.comb(width, i) for t in parts for i in range(t))
+    return probes * (n / 2.0**width + PROBE)
+
+
+def n_partitions(n: int, radius: int = 4) -> int:
+    """The number of partitions, of 2 to 4, with the least estimated cost: wider ones for more rows.
+
+    Any number gives the same links; the estimate only weighs probes against candidates.
+    """
+    return min((4, 3, 2), key=lambda m: partition_cost(n, m, radius))
 
 
 def _values(fp: np.ndarray, group: list[int]) -> np.ndarray:
@@ -152,8 +165,7 @@ def _estimates(reps: DataFrame, groups: list[list[int]], most: int) -> list[np.n
         cost = np.zeros((most + 1, 1 << f))
         for t in range(most):
             rest = [sum(math.comb(w - f, i) for i in range(t - j + 1)) / 2 ** (w - f) for j in range(t + 1)]
-            # a probe is a row that is dealt, sorted and looked up: worth some three candidates
-            cost[t + 1] = sum(r * c for r, c in zip(rings, rest, strict=False)) + 3 * sum(math.comb(w, i) for i in range(t + 1))
+            cost[t + 1] = sum(r * c for r, c in zip(rings, rest, strict=False)) + PROBE * sum(math.comb(w, i) for i in range(t + 1))
         out.append(cost)
     return out
 
@@ -183,9 +195,9 @@ def thresholds(costs: list[np.ndarray], radius: int) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _search(u: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect whatever the radius connects among these fingerprints, by breadth first."""
-    u, todo, out = fp.view(np.uint64), np.arange(len(fp)), []
+    todo, out = np.arange(len(u)), []
     front: list[int] = []
     while len(todo):
         if not front:
@@ -199,6 +211,25 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def forest(fp: np.ndarray, radius: int, small: int = 2048) -> np.ndarray:
+    """Links (two rows of places) that connect whatever the radius connects among these fingerprints.
+
+    Many of them are grouped again by each of radius+1 pieces of their bits: two within the radius
+    agree in one piece at least, so the links inside the groups are enough.
+    """
+    u = fp.view(np.uint64)
+    if len(u) <= small:
+        return np.asarray(_search(u, radius), np.int64).reshape(-1, 2).T
+    out = []
+    for cut in np.array_split(np.arange(BITS), radius + 1):
+        value = (u >> np.uint64(cut[0])) & np.uint64((1 << len(cut)) - 1)
+        order = np.argsort(value, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(group) > 1:
+                out.append(group[np.asarray(_search(u[group], radius), np.int64).reshape(-1, 2).T])
+    return np.hstack(out) if out else np.empty((2, 0), np.int64)
+
+
 def _reduced(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Which of these links are enough to connect what all of them connect."""
     root: dict[int, int] = {}
@@ -233,8 +264,8 @@ def bucket_links(key, fp, node, role, radius: int, block: int = 1_000_000):
         members = np.arange(starts[g], ends[g])
         _, first = np.unique(node[members], return_index=True)
         members = members[first]
-        for a, b in forest(fp[members], radius):
-            yield np.asarray([members[a]]), np.asarray([members[b]])
+        a, b = forest(fp[members], radius)
+        yield members[a], members[b]
     small = np.flatnonzero((pairs <= block) & (pairs > 0))
     at = 0
     while at < len(small):
@@ -259,13 +290,15 @@ def bucket_links(key, fp, node, role, radius: int, block: int = 1_000_000):
             yield p[rest], x[rest]
 
 
-def links(reps: DataFrame, radius: int = 4) -> DataFrame:
+def links(reps: DataFrame, radius: int = 4, partitions: int | None = None) -> DataFrame:
     """``a, b``: links between rows of ``reps(fp, node)``, complete up to connectivity."""
     n, moments = _bit_moments(reps)
-    groups = bit_groups(n, moments, n_partitions(n))
-    most = 3
+    groups = bit_groups(n, moments, partitions or n_partitions(n, radius))
+    # thresholds up to which each partition is probed: any sum of T+1 has to be reachable
+    most = max(3, -(-(radius + 1) // len(groups)))
     tables = _estimates(reps, groups, most)
 
+    @tidy
     def deal(batches):
         for batch in batches:
             fp = batch["fp"].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -287,6 +320,7 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
     def _rows(key, fp, node, role):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(node), pa.array(role)], names=["key", "fp", "node", "role"])
 
+    @tidy
     def verify(batches):
         held = None
 
@@ -311,21 +345,34 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
+def _named(docs: DataFrame, radius: int, shingle: int, partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``fp, first, component`` of each distinct one."""
     prints = Table(fingerprints(docs, shingle), "fingerprints").df
-    reps = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "representatives").df
-    joined = components(links(reps.where("node is not null"), radius))
-    named = reps.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    reps = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "representatives").df
+    # a node is a fingerprint, so rows without doc_id link too; components get their names afterwards
+    joined = components(links(reps.select("fp", F.col("fp").alias("node")), radius, partitions))
+    of = reps.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return prints, Table(of.select("fp", "first", F.coalesce("component", "fp").alias("component")), "components").df
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, partitions: int | None = None) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    prints, of = _named(docs, radius, shingle, partitions)
+    names = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = of.join(names, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents that name their component, one for each; documents without doc_id stay.
+    """One document of each component stays: that of the smallest doc_id, of these the smallest text hash.
 
-    Rows equal in doc_id and text are one document, of which one row stays.
+    Of a component whose rows have no doc_id at all, the row with the smallest text hash stays. Rows
+    equal in doc_id and text are one document, of which one row stays.
     """
-    found = near_duplicates(docs, radius, shingle)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    prints, of = _named(docs, radius, shingle, None)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("th").alias("th"))
+    # the best row of each fingerprint first: equal copies are one row from here on
+    best = prints.groupBy("fp").agg(F.min(key).alias(KEY))
+    kept = best.join(of, "fp").groupBy("component").agg(F.min(KEY).alias(KEY)).select(KEY)
+    rows = docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th")))
+    return rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)

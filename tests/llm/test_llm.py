@@ -238,6 +238,52 @@ def test_simhash_links_of_dense_groups(spark):
     assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, list(range(len(fps))), 4)
 
 
+def test_simhash_forest_of_large_buckets():
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (12, 400)).astype(np.uint64)))
+    fps = np.unique(fps.ravel()).view(np.int64)
+    a, b = simhash.forest(fps, 4, small=100)
+    ids = [int(x) for x in fps.view(np.uint64)]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p, q in zip(a.tolist(), b.tolist()):
+        assert bin(ids[p] ^ ids[q]).count("1") <= 4
+        p, q = find(p), find(q)
+        root[max(p, q)] = min(p, q)
+    assert [find(i) for i in range(len(ids))] == brute_components(ids, list(range(len(ids))), 4)
+
+
+@pytest.mark.parametrize("partitions", [2, 3, 4])
+def test_simhash_partition_plans(spark, partitions):
+    rng = np.random.default_rng(partitions)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64).tolist()
+    fps = sorted({c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in base for _ in range(6)})
+    reps = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    from latticework.llm.common import components
+
+    got = {r.node: r.component for r in components(simhash.links(reps, partitions=partitions)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, list(range(len(fps))), 4)
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    prints = [(1, 1, 0x00), (None, 2, 0x0F), (2, 3, 0xFF), (None, 4, -1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle=4: spark.createDataFrame(prints, "doc_id long, th long, fp long"))
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(docs(spark, [])).collect()}
+    assert got == {"0" * 16: 1, "0" * 14 + "0f": 1, "0" * 14 + "ff": 1, "f" * 16: None}
+
+
+def test_simhash_first_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (None, "lone words of a row without id", "d"), (None, "lone words of a row without id", "d"), (9, None, None)]
+    made = docs(spark, rows).withColumnRenamed("rank", "k")
+    assert sorted(((r.doc_id, r.lang) for r in simhash.first_of_each(made).collect()), key=str) == sorted([(3, "b"), (None, "d"), (9, None)], key=str)
+
+
 def test_thresholds_are_enough():
     t = simhash.thresholds([np.random.default_rng(i).random((50, 4)) for i in range(4)], 4)
     assert (t.sum(1) == 5).all()
