@@ -83,6 +83,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
         named = own.withColumn("z", F.col("s") + F.col("n") - step).join(first, [*DOC, "s"]).join(last, [*DOC, "z"])
         named = Table(named.select(*DOC, "s", "n", "a", "b"), "named").df
         heads = named.groupBy("n", "a", "b").agg(F.min(F.struct(*DOC, "s")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+        heads = Table(heads, "heads").df  # a table of its own, so that the join below may be split where a class is hot
         later = named.join(heads, ["n", "a", "b"]).where(F.struct(*DOC, "s") > F.col("head")).select(*DOC, "s", "n")
         found = later if found is None else found.unionByName(later)
         if 2 * step > longest:
