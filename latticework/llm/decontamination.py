@@ -1,26 +1,32 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Tokens are runs of letters and digits. Numbers, units after a number and names (capitalised tokens)
+Tokens are runs of letters and digits; a number with its points and commas is one token (``3.50`` is read
+as ``350``), and so is a sequence of names (capitalised tokens). Numbers, units after a number and names
 become typed placeholders, other tokens their lower-case form; so a question with other numbers and
 names is the same template. Windows of ``window`` canonical tokens of the documents are hash-joined
-with those of the benchmark items. Where a shared stretch starts, the row that found it holds both
-token sequences, and the stretch along that alignment is compared there, token by token:
+with those of the benchmark items. Where a shared stretch starts, the alignment it stands for is
+compared, token by token:
 
 * ``similarity``: the share of the item's windows that the document has on any of its alignments,
   0.8 or more; an inserted or deleted word splits an alignment, and all pieces count;
 * ``slot_consistency``: what stands in the slots must be one substitution. Of the distinct pairs
   (item value, document value), the share that is left when each item value keeps one document
-  value; 0.8 or more. An exact copy has 1. A slot is read on the alignments that hold a window
-  around it, of these on the longest ones (most windows), so that a phrase met by chance elsewhere
-  does not speak against a copy; a slot in no window is read on the longest alignments only.
+  value; 0.8 or more. An exact copy has 1. Capitalised words of the document may go on beyond the
+  item, so a name that starts the item is compared by its last word, one that ends it by its first.
+  A slot is read on the alignments that hold a window around it, of these on the longest ones (most
+  windows), so that a phrase met by chance elsewhere does not speak against a copy; a slot in no
+  window is read on the longest alignments only.
 
-One pass over the texts; what is shuffled is one row for each stretch. The window index of the
-benchmark is broadcast only if its number of rows is at most ``max_broadcast``, and joined by
-shuffle beyond that.
+What is shuffled is one row for each stretch. Up to ``max_broadcast`` windows of the benchmark and as many
+tokens of its items, the index (a hash, a place and an item number for each window) and the items are
+broadcast, and all is one pass over the texts. Beyond that, hashes and places alone are joined by
+shuffle, and the texts are fetched for the documents that have a stretch.
 
 Edge cases: null or empty texts and items without a token match nothing; items shorter than a window
-are one window of their own length; windows of placeholders alone are no evidence; rows that repeat
-a doc_id are one document, repeated items are found each; an empty table gives no rows.
+are one window of their own length; windows of placeholders alone are no evidence; rows equal in
+doc_id and text are one document, rows that share a doc_id (or have none) and differ in text are
+judged each; repeated items are found once, items that share an item_id each; an empty table gives
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,20 +39,39 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs hours
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 
 
-def _tokens(text: Column) -> Column:
+NO_ID = -(2**63)
+DOC = ["d", "th"]
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters and digits; points and commas inside a number are left out."""
+    for _ in range(2):  # twice, since a digit may stand between two of them
+        text = F.regexp_replace(text, "([0-9])[.,]([0-9])", "$1$2")
     return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _canonical(tokens: Column) -> Column:
+def _kinds(words: Column) -> Column:
+    """Placeholders and lower-case words, one for each word."""
     digit = lambda x: F.substring(x, 1, 1).between("0", "9")
 
     def one(x: Column, i: Column) -> Column:
         low, first = F.lower(x), F.substring(x, 1, 1)
         name = F.lower(first) != first
-        unit = low.isin(UNITS) & F.coalesce(digit(F.get(tokens, i - 1)), F.lit(False))
+        unit = low.isin(UNITS) & F.coalesce(digit(F.get(words, i - 1)), F.lit(False))
         return F.when(digit(x), F.lit(NUMBER)).when(unit, F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low)
 
-    return F.transform(tokens, one)
+    return F.transform(words, one)
+
+
+def _canonical(rows: DataFrame, keys: list[str], tokens: str, kinds: str) -> DataFrame:
+    """The keys, lower-case tokens and their kinds; neighbouring names are one token."""
+    at = rows.select(*keys, _words(F.col("text")).alias("w")).select(*keys, "w", _kinds(F.col("w")).alias("c"))
+    first = lambda i: ~((F.get("c", i) == NAME) & F.coalesce(F.get("c", i - 1) == NAME, F.lit(False)))
+    at = at.select(*keys, "w", "c", F.filter(F.sequence(F.lit(0), F.size("w") - 1), first).alias("at"))
+    stop = lambda k: F.coalesce(F.get("at", k + 1), F.size("w"))
+    name = lambda i, k: F.lower(F.array_join(F.slice("w", i + 1, stop(k) - i), " "))
+    token = F.transform("at", lambda i, k: F.when(F.get("c", i) == NAME, name(i, k)).otherwise(F.lower(F.get("w", i))))
+    return at.select(*keys, token.alias(tokens), F.transform("at", lambda i: F.get("c", i)).alias(kinds))
 
 
 def _hashes(canonical: Column) -> Column:
@@ -58,42 +83,65 @@ def _window(arr: str, at: str | Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(arr, at + j) for j in range(size)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, max_broadcast: int = 500_000) -> DataFrame:
-    """``doc_id, item_id, similarity, slot_consistency, n_slots`` of every document that holds an item."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", _tokens(F.col("text")).alias("it")).select("item_id", "it", _canonical(F.col("it")).alias("ic"))
-    items = items.where(F.col("it")[0] != "").select("item_id", F.transform("it", F.lower).alias("it"), "ic", _hashes(F.col("ic")).alias("ih"))
-    items = items.withColumn("size", F.least(F.lit(window), F.size("ic"))).withColumn("windows", F.size("ic") - F.col("size") + 1)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 .. window
-    marks = F.array(*[F.lit(x) for x in (NUMBER, UNIT, NAME)])
-    index = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+def _index(items: DataFrame, sizes: list[int], marks: Column) -> DataFrame:
+    """``iid, q, size, h, before``: windows of the items, and the token before each if its window counts too."""
     literal = lambda q: F.exists(F.slice("ic", q + 1, F.col("size")), lambda x: ~F.array_contains(marks, x))
-    index = index.where(literal(F.col("q")))
+    at = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).where(literal(F.col("q")))
     hashed = F.coalesce(*[F.when(F.col("size") == s, _window("ih", "q", s)) for s in sizes]) if sizes else F.lit(None).cast("long")
-    index = index.withColumn("h", hashed).withColumn("before", F.when((F.col("q") > 0) & literal(F.greatest(F.col("q") - 1, F.lit(0))), F.get("ih", F.col("q") - 1)))
-    if index.limit(max_broadcast + 1).count() <= max_broadcast:
-        index = F.broadcast(index)
+    before = F.when((F.col("q") > 0) & literal(F.greatest(F.col("q") - 1, F.lit(0))), F.get("ih", F.col("q") - 1))
+    return at.select("iid", "q", "size", hashed.alias("h"), before.alias("before"))
+
 
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text")).alias("dt"))
-    texts = texts.select("doc_id", "dt", _canonical(F.col("dt")).alias("dc")).select("doc_id", "dt", _hashes(F.col("dc")).alias("dh"))
-    at = texts.select("doc_id", "dt", "dh", F.explode_outer(F.sequence(F.lit(0), F.size("dh") - 1)).alias("p"))
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, max_broadcast: int = 500_000, text_hash: str | None = None) -> DataFrame:
+    """``doc_id, item_id, similarity, slot_consistency, n_slots`` of every document that holds an item.
+
+    ``text_hash`` names a further column for the XXH64 of the document's text.
+    """
+    marks = F.array(*[F.lit(x) for x in (NUMBER, UNIT, NAME)])
+    given = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("item_id", "text").alias("iid"), "text").dropDuplicates(["iid"])
+    items = _canonical(given, ["iid", "item_id"], "it", "ic").where(F.col("it")[0] != "").withColumn("ih", _hashes(F.col("ic")))
+    items = items.withColumn("size", F.least(F.lit(window), F.size("ic"))).withColumn("windows", F.size("ic") - F.col("size") + 1)
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 .. window
+    index = _index(items, sizes, marks)
+    counts = items.agg(F.coalesce(F.sum("windows"), F.lit(0)), F.coalesce(F.sum(F.size("ic")), F.lit(0))).first()
+    one_pass = max(counts) <= max_broadcast
+
+    keyed = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    texts = _canonical(keyed, DOC, "dt", "dc").select(*DOC, "dt", _hashes(F.col("dc")).alias("dh"))
+    at = texts.select("*", F.explode_outer(F.sequence(F.lit(0), F.size("dh") - 1)).alias("p"))
     # explode_outer: for explode the optimizer would infer a filter and push all of the above into it
+    carried = [*DOC, "dt", "dh"] if one_pass else DOC
+    last = [] if one_pass else [F.get("dh", F.col("p") - 1).alias("last")]
     if len(sizes) == 1:
-        at = at.withColumn("h", _window("dh", "p", sizes[0]))
+        at = at.select(*carried, "p", *last, _window("dh", "p", sizes[0]).alias("h"))
     else:
-        at = at.select("*", F.explode_outer(F.array(*[_window("dh", "p", s) for s in sizes]) if sizes else F.array().cast("array<bigint>")).alias("h"))
-    hits = at.join(index, "h")
+        at = at.select(*carried, "p", *last, F.explode_outer(F.array(*[_window("dh", "p", s) for s in sizes]) if sizes else F.array().cast("array<bigint>")).alias("h"))
     # only where a stretch of indexed windows starts: the token before differs, there is none, or the
     # window there is of placeholders alone
-    hits = hits.where(F.col("before").isNull() | ~F.get("dh", F.col("p") - 1).eqNullSafe(F.col("before")))
-    d = F.col("p") - F.col("q")
-    seg = F.transform(F.sequence(F.lit(0), F.size("ih") - 1), lambda j: F.when(F.get("dh", d + j) == F.get("ih", j), F.lower(F.get("dt", d + j))))
-    hits = hits.select("doc_id", "item_id", "windows", "size", "it", "ic", d.alias("d"), seg.alias("seg"))
+    last = F.get("dh", F.col("p") - 1) if one_pass else F.col("last")
+    hits = at.join(F.broadcast(index) if one_pass else index.hint("merge"), "h").where(F.col("before").isNull() | ~last.eqNullSafe(F.col("before")))
+    hits = hits.select(*carried, "iid", (F.col("p") - F.col("q")).alias("d0"))
+    if one_pass:
+        hits = hits.join(F.broadcast(items), "iid")
+    else:
+        hits = hits.distinct().join(items, "iid").join(texts.dropDuplicates(DOC).hint("merge"), DOC)
+    found = _compared(hits, marks, similarity, consistency)
+    out = [F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "item_id", "similarity", "slot_consistency", "n_slots"]
+    return found.select(*out, *([F.col("th").alias(text_hash)] if text_hash else []))
+
+
+def _compared(hits: DataFrame, marks: Column, similarity: float, consistency: float) -> DataFrame:
+    """Similarity and slot consistency from alignments that carry both token sequences."""
+    d0, last = F.col("d0"), F.size("ic") - 1
+    seg = F.transform(F.sequence(F.lit(0), last), lambda j: F.when(F.get("dh", d0 + j) == F.get("ih", j), F.get("dt", d0 + j)))
+    hits = hits.select(*DOC, "iid", "item_id", "windows", "size", "it", "ic", "d0", seg.alias("seg"))
     hits = hits.withColumn("qs", F.filter(F.sequence(F.lit(0), F.col("windows") - 1), lambda q: F.forall(F.slice("seg", q + 1, F.col("size")), lambda x: x.isNotNull())))
     held = lambda j: F.exists("qs", lambda q: (q <= j) & (j < q + F.col("size")))
-    slot = F.filter(F.transform(F.sequence(F.lit(0), F.size("ic") - 1), lambda j: F.struct(j.alias("j"), F.get("ic", j).alias("kind"), F.get("it", j).alias("item"), F.get("seg", j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
+    inner = lambda x, j: F.when((j == 0) & (j != last), F.substring_index(x, " ", -1)).when((j == last) & (j != 0), F.substring_index(x, " ", 1)).otherwise(x)
+    slot = F.filter(F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(j.alias("j"), F.get("ic", j).alias("kind"), inner(F.get("it", j), j).alias("item"), inner(F.get("seg", j), j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
     slot = F.transform(slot, lambda x: F.struct(x["j"].alias("j"), F.struct(held(x["j"]).alias("held"), F.size("qs").alias("n")).alias("rank"), F.struct(x["kind"].alias("kind"), x["item"].alias("item"), x["doc"].alias("doc")).alias("pair")))
-    key = ["doc_id", "item_id", "windows"]
-    hits = hits.select(*key, "d", "qs", slot.alias("slots")).distinct()
+    key = [*DOC, "iid", "item_id", "windows"]
+    hits = hits.select(*key, "d0", "qs", slot.alias("slots")).distinct()
     found = hits.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.max(F.size("qs")).alias("most"), F.flatten(F.collect_list("slots")).alias("slots"))
     found = found.withColumn("similarity", F.round(F.size("qs") / F.col("windows"), 6)).where(F.col("similarity") >= similarity)
     # from here on only documents that hold an item: the slots of each place, then those of the item
@@ -102,5 +150,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similar
     places = places.select(*key, "similarity", F.transform(F.filter("xs", lambda x: x["rank"] == F.col("best")), lambda x: x["pair"]).alias("pairs"))
     found = places.groupBy(*key, "similarity").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots"))
     n, own = F.size("slots"), F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["item"]))))
-    out = found.select("doc_id", "item_id", "similarity", F.round(F.when(n == 0, 1.0).otherwise(own / n), 6).alias("slot_consistency"), n.alias("n_slots"))
+    out = found.select(*DOC, "item_id", "similarity", F.round(F.when(n == 0, 1.0).otherwise(own / n), 6).alias("slot_consistency"), n.alias("n_slots"))
     return out.where(F.col("slot_consistency") >= consistency)

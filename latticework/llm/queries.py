@@ -90,25 +90,38 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-_CANON = """list_transform(range(1, len({t}) + 1), lambda i: CASE WHEN {t}[i][1] BETWEEN '0' AND '9' THEN '<number>'
- WHEN lower({t}[i]) IN (%s) AND i > 1 AND {t}[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
- WHEN lower({t}[i][1]) <> {t}[i][1] THEN '<name>' ELSE lower({t}[i]) END)""" % ", ".join(f"'{u}'" for u in decontamination.UNITS)
+_WORDS = r"string_split(trim(regexp_replace(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+_CANON = """list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i][1] BETWEEN '0' AND '9' THEN '<number>'
+ WHEN lower(w[i]) IN (%s) AND i > 1 AND w[i - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
+ WHEN lower(w[i][1]) <> w[i][1] THEN '<name>' ELSE lower(w[i]) END)""" % ", ".join(f"'{u}'" for u in decontamination.UNITS)
 
-_OP3 = rf"""
-WITH it AS (SELECT item_id, string_split(trim(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS t FROM benchmark WHERE text IS NOT NULL),
-ic AS (SELECT item_id, t, {_CANON.format(t="t")} AS c, least(5, len(t)) AS n FROM it WHERE t[1] <> ''),
+
+def _canonical_sql(name: str, key: str, table: str) -> str:
+    """Tokens ``t`` and kinds ``c``; neighbouring names are one token."""
+    return f"""{name}1 AS (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL),
+{name}2 AS (SELECT *, {_CANON} AS k FROM {name}1),
+{name}3 AS (SELECT *, list_append(list_filter(range(1, len(w) + 1), lambda i: NOT (k[i] = '<name>' AND i > 1 AND k[i - 1] = '<name>')), len(w) + 1) AS o FROM {name}2),
+{name} AS (SELECT {key}, list_transform(range(1, len(o)), lambda i: CASE WHEN k[o[i]] = '<name>' THEN lower(array_to_string(w[o[i] : o[i + 1] - 1], ' ')) ELSE lower(w[o[i]]) END) AS t,
+ list_transform(range(1, len(o)), lambda i: k[o[i]]) AS c FROM {name}3)"""
+
+
+_OP3 = f"""
+WITH {_canonical_sql('it', 'item_id', 'benchmark')},
+ic AS (SELECT item_id, t, c, least(5, len(t)) AS n FROM it WHERE t[1] <> ''),
 iw AS (SELECT item_id, t, c, n, len(c) - n + 1 AS windows, unnest(range(1, len(c) - n + 2)) AS q FROM ic),
 ix AS (SELECT *, array_to_string(c[q : q + n - 1], ' ') AS h FROM iw WHERE len(list_filter(c[q : q + n - 1], lambda x: x NOT IN ('<number>', '<unit>', '<name>'))) > 0),
-dt AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS t FROM documents WHERE text IS NOT NULL),
-dc AS (SELECT doc_id, t, {_CANON.format(t="t")} AS c FROM dt),
+{_canonical_sql('dc', 'doc_id', 'documents')},
 dw AS (SELECT doc_id, t, c, s.n AS n, unnest(range(1, len(c) - s.n + 2)) AS p FROM dc, (SELECT DISTINCT n FROM ix) s),
 hit AS (SELECT DISTINCT w.doc_id, ix.item_id, ix.windows, p - q AS d FROM (SELECT doc_id, n, p, array_to_string(c[p : p + n - 1], ' ') AS h FROM dw) w JOIN ix ON w.h = ix.h AND w.n = ix.n),
-seg AS (SELECT hit.doc_id, hit.item_id, windows, d, ic.t, ic.c, ic.n, list_transform(range(1, len(ic.c) + 1), lambda j: CASE WHEN j + d >= 1 AND dc.c[j + d] = ic.c[j] THEN lower(dc.t[j + d]) END) AS g
+seg AS (SELECT hit.doc_id, hit.item_id, windows, d, ic.t, ic.c, ic.n, list_transform(range(1, len(ic.c) + 1), lambda j: CASE WHEN j + d >= 1 AND dc.c[j + d] = ic.c[j] THEN dc.t[j + d] END) AS g
         FROM hit JOIN ic USING (item_id) JOIN dc ON hit.doc_id = dc.doc_id),
 ok AS (SELECT *, list_filter(range(1, windows + 1), lambda q: len(list_filter(g[q : q + n - 1], lambda x: x IS NULL)) = 0) AS qs FROM seg),
-good AS (SELECT * FROM ok WHERE len(qs) >= greatest(1.0, 0.15 * windows)),
-sim AS (SELECT doc_id, item_id, any_value(windows) AS windows, len(list_distinct(flatten(list(qs)))) AS k FROM good GROUP BY 1, 2),
-sl AS (SELECT DISTINCT doc_id, item_id, c[j] AS kind, lower(t[j]) AS item, g[j] AS doc FROM (SELECT *, unnest(range(1, len(c) + 1)) AS j FROM good) WHERE c[j] IN ('<number>', '<unit>', '<name>') AND g[j] IS NOT NULL),
+sim AS (SELECT doc_id, item_id, any_value(windows) AS windows, len(list_distinct(flatten(list(qs)))) AS k, max(len(qs)) AS most FROM ok GROUP BY 1, 2),
+pl AS (SELECT doc_id, item_id, d, c[j] AS kind, j, len(c) AS m, t[j] AS it, g[j] AS dt, len(qs) AS nq, len(list_filter(qs, lambda q: q <= j AND j < q + n)) > 0 AS held
+       FROM (SELECT *, unnest(range(1, len(c) + 1)) AS j FROM ok) WHERE c[j] IN ('<number>', '<unit>', '<name>') AND g[j] IS NOT NULL),
+rd AS (SELECT pl.*, dense_rank() OVER (PARTITION BY pl.doc_id, pl.item_id, j ORDER BY held DESC, nq DESC) AS best FROM pl JOIN sim ON pl.doc_id = sim.doc_id AND pl.item_id = sim.item_id WHERE held OR nq = most),
+sl AS (SELECT DISTINCT doc_id, item_id, kind, CASE WHEN m > 1 AND j = 1 THEN string_split(it, ' ')[-1] WHEN m > 1 AND j = m THEN string_split(it, ' ')[1] ELSE it END AS item,
+       CASE WHEN m > 1 AND j = 1 THEN string_split(dt, ' ')[-1] WHEN m > 1 AND j = m THEN string_split(dt, ' ')[1] ELSE dt END AS doc FROM rd WHERE best = 1),
 sn AS (SELECT doc_id, item_id, count(*) AS n, count(DISTINCT kind || ' ' || item) AS own FROM sl GROUP BY 1, 2),
 r AS (SELECT sim.doc_id, sim.item_id, round(k / windows, 6) AS similarity, round(coalesce(own / sn.n, 1.0), 6) AS slot_consistency, CAST(coalesce(sn.n, 0) AS INTEGER) AS n_slots
       FROM sim LEFT JOIN sn ON sim.doc_id = sn.doc_id AND sim.item_id = sn.item_id)

@@ -69,8 +69,9 @@ def test_decontamination(spark, documents):
 
 
 def _brute_similarity(item, doc, window=5):
-    """Share of the item's windows on any alignment with a window that has a literal."""
+    """Share of the item's windows on any alignment with a window that has a literal; names in a row are one token."""
     a, b = ([("<number>" if x[0].isdigit() else "<name>" if x[0].isupper() else x) for x in t.split()] for t in (item, doc))
+    a, b = ([x for x, y in zip(t, [None, *t]) if not x == y == "<name>"] for t in (a, b))
     windows = range(len(a) - window + 1)
     found = set()
     for d in range(-len(a), len(b)):
@@ -114,6 +115,29 @@ def test_decontamination_of_leading_placeholders(spark):
     assert got == want and all(got[k, k] == 1.0 for k in range(3)) and (11, 2) in got
 
 
+def test_decontamination_of_other_numbers_and_names(spark):
+    text = "A baker named {} sells {} loaves for {} dollars each and wants to know how much {} earns in a week of work"
+    item = spark.createDataFrame([(7, text.format("Anna", "12", "3", "Anna")), (8, "Anna Maria Lopez buys some bread and then walks home alone")], "item_id long, text string")
+    made = [(1, text.format("Jean Paul Sartre", "1,200", "3.50", "Jean Paul Sartre")), (2, text.format("Bo", "1.5", "1,234,567.89", "Bo")), (3, text.format("Bo", "5", "6", "Li"))]
+    made += [(4, "Yes. Well: Anna Maria Lopez buys some bread and then walks home alone. The End"), (5, "Anna, Maria and Lopez buys some bread")]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.slot_consistency) for r in decontamination.contaminated(docs(spark, [(*m, None) for m in made]), item, consistency=0.5).collect()}
+    assert got == {(1, 7): (1.0, 1.0), (2, 7): (1.0, 1.0), (3, 7): (1.0, 0.833333), (4, 8): (1.0, 1.0)}
+
+
+def test_decontamination_by_shuffle_and_by_row(spark, documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, two = (sorted(decontamination.contaminated(documents, bench, max_broadcast=m).collect()) for m in (500_000, 0))
+    assert one == two and one
+    item = spark.createDataFrame([(1, "first they mix the flour with the water and then they bake the bread until it is brown", "x", 5)] * 2 + [(2, "short", None, None)], "item_id long, text string, doc_id string, d int")
+    full = item.first().text
+    half, rest = full[:46], full[30:]
+    made = docs(spark, [(None, half, None), (None, rest, None), (None, full, None), (4, half, None), (4, rest, None), (5, full, None), (5, full, None), (6, None, None), (7, "", None)])
+    for m in (500_000, 0):
+        got = decontamination.contaminated(made.withColumnRenamed("q", "item_id").withColumnRenamed("n", "iid"), item, max_broadcast=m).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got if r.doc_id) == [(5, 1)] and sum(r.doc_id is None for r in got) == 1
+        assert decontamination.contaminated(docs(spark, []), item, max_broadcast=m).count() == decontamination.contaminated(made, item.limit(0), max_broadcast=m).count() == 0
+
+
 def test_packing(spark, documents):
     got = packing.pack(documents).toPandas()
     enc = tokens.encoder(tokens.default_tokenizer())
