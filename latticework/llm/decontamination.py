@@ -34,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Table
+
 #: Units of measure, as written after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs hours minutes seconds days weeks months years percent usd eur gbp dollars euros pounds cents w kw kwh v a hz khz mhz ghz kb mb gb tb c f k".split()
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
@@ -125,30 +127,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similar
         hits = hits.join(F.broadcast(items), "iid")
     else:
         hits = hits.distinct().join(items, "iid").join(texts.dropDuplicates(DOC).hint("merge"), DOC)
+    # what stands beside the item is cut out in generated code, so that no row holds a whole text from here on
+    start = F.greatest(F.col("d0"), F.lit(0))
+    cut = [F.slice(c, start + 1, F.greatest(F.size("ic") + F.col("d0") - start, F.lit(0))).alias(c) for c in ("dt", "dh")]
+    hits = hits.select(*DOC, "iid", "item_id", "windows", "size", "it", "ic", "ih", "d0", (F.col("d0") - start).alias("off"), *cut)
     found = _compared(hits, marks, similarity, consistency)
     out = [F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "item_id", "similarity", "slot_consistency", "n_slots"]
     return found.select(*out, *([F.col("th").alias(text_hash)] if text_hash else []))
 
 
 def _compared(hits: DataFrame, marks: Column, similarity: float, consistency: float) -> DataFrame:
-    """Similarity and slot consistency from alignments that carry both token sequences."""
-    d0, last = F.col("d0"), F.size("ic") - 1
-    seg = F.transform(F.sequence(F.lit(0), last), lambda j: F.when(F.get("dh", d0 + j) == F.get("ih", j), F.get("dt", d0 + j)))
-    hits = hits.select(*DOC, "iid", "item_id", "windows", "size", "it", "ic", "d0", seg.alias("seg"))
+    """Similarity and slot consistency from alignments that carry the tokens of both sides.
+
+    Counts and maxima alone are aggregated, so a document with any number of alignments is no large group.
+    """
+    off, last = F.col("off"), F.size("ic") - 1
+    seg = F.transform(F.sequence(F.lit(0), last), lambda j: F.when(F.get("dh", off + j) == F.get("ih", j), F.get("dt", off + j)))
+    hits = hits.withColumn("seg", seg)
     hits = hits.withColumn("qs", F.filter(F.sequence(F.lit(0), F.col("windows") - 1), lambda q: F.forall(F.slice("seg", q + 1, F.col("size")), lambda x: x.isNotNull())))
     held = lambda j: F.exists("qs", lambda q: (q <= j) & (j < q + F.col("size")))
     inner = lambda x, j: F.when((j == 0) & (j != last), F.substring_index(x, " ", -1)).when((j == last) & (j != 0), F.substring_index(x, " ", 1)).otherwise(x)
-    slot = F.filter(F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(j.alias("j"), F.get("ic", j).alias("kind"), inner(F.get("it", j), j).alias("item"), inner(F.get("seg", j), j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
-    slot = F.transform(slot, lambda x: F.struct(x["j"].alias("j"), F.struct(held(x["j"]).alias("held"), F.size("qs").alias("n")).alias("rank"), F.struct(x["kind"].alias("kind"), x["item"].alias("item"), x["doc"].alias("doc")).alias("pair")))
+    slot = F.filter(F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(j.alias("j"), held(j).alias("held"), F.get("ic", j).alias("kind"), inner(F.get("it", j), j).alias("item"), inner(F.get("seg", j), j).alias("doc"))), lambda x: F.array_contains(marks, x["kind"]) & x["doc"].isNotNull())
     key = [*DOC, "iid", "item_id", "windows"]
-    hits = hits.select(*key, "d0", "qs", slot.alias("slots")).distinct()
-    found = hits.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.max(F.size("qs")).alias("most"), F.flatten(F.collect_list("slots")).alias("slots"))
-    found = found.withColumn("similarity", F.round(F.size("qs") / F.col("windows"), 6)).where(F.col("similarity") >= similarity)
-    # from here on only documents that hold an item: the slots of each place, then those of the item
-    read = F.filter("slots", lambda x: x["rank"]["held"] | (x["rank"]["n"] == F.col("most")))
-    places = found.select(*key, "similarity", F.explode_outer(read).alias("x")).groupBy(*key, "similarity", "x.j").agg(F.max("x.rank").alias("best"), F.collect_set("x").alias("xs"))
-    places = places.select(*key, "similarity", F.transform(F.filter("xs", lambda x: x["rank"] == F.col("best")), lambda x: x["pair"]).alias("pairs"))
-    found = places.groupBy(*key, "similarity").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots"))
-    n, own = F.size("slots"), F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["item"]))))
-    out = found.select(*DOC, "item_id", "similarity", F.round(F.when(n == 0, 1.0).otherwise(own / n), 6).alias("slot_consistency"), n.alias("n_slots"))
+    hits = Table(hits.select(*key, "d0", "qs", slot.alias("slots")).distinct(), "alignments").df
+    share = F.round(F.col("k") / F.col("windows"), 6).alias("similarity")
+    found = hits.select(*key, F.size("qs").alias("n"), F.explode("qs").alias("q")).groupBy(*key).agg(F.count_distinct("q").alias("k"), F.max("n").alias("most"))
+    found = found.select(*key, share, "most").where(F.col("similarity") >= similarity)
+    # from here on only documents that hold an item: the best reading of each place, then the pairs of the item
+    read = hits.join(found, key).select(*key, F.size("qs").alias("n"), "most", F.explode("slots").alias("x")).where(F.col("x.held") | (F.col("n") == F.col("most")))
+    read = read.select(*key, "x.j", F.struct("x.held", "n").alias("rank"), "x.kind", "x.item", "x.doc").distinct()
+    best = read.groupBy(*key, "j").agg(F.max("rank").alias("rank"))
+    pairs = read.join(best, [*key, "j", "rank"]).select(*key, "kind", "item", "doc").distinct()
+    slots = pairs.groupBy(*key).agg(F.count("*").cast("int").alias("n_slots"), F.count_distinct("kind", "item").alias("own"))
+    out = found.join(slots, key, "left").select(*DOC, "item_id", "similarity", F.round(F.coalesce(F.col("own") / F.col("n_slots"), F.lit(1.0)), 6).alias("slot_consistency"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
     return out.where(F.col("slot_consistency") >= consistency)
