@@ -8,17 +8,21 @@ re-computation.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python, whichever is reached first; one row at least.
 ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
-_LEFT: list[str] = []
+#: Scratch paths by owner: a pipeline run owns what its stages make, all else has the owner "".
+_LEFT: dict[str, list[str]] = {}
+_OWNER = contextvars.ContextVar("latticework_owner", default="")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,11 +73,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path on the shared folder; ``release`` removes it unless it is to be kept."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path on the shared folder; ``release`` of its owner removes it."""
     path = f"{shared_dir(spark)}/latticework-{uuid.uuid4().hex}/{name}"
-    if not keep:
-        _LEFT.append(path)
+    _LEFT.setdefault(_OWNER.get(), []).append(path)
     return path
 
 
@@ -81,16 +84,28 @@ def drop(spark: SparkSession, path: str) -> None:
     """Removes a scratch table; the path may be in any store that Spark reads."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    if path in _LEFT:
-        _LEFT.remove(path)
+    for paths in _LEFT.values():
+        if path in paths:
+            paths.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes every scratch table made so far: for callers whose earlier results are written out."""
-    for path in list(_LEFT):
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Removes the scratch tables of an owner: for callers whose results are written out."""
+    for path in list(_LEFT.get(owner, [])):
         drop(spark, path)
 
 
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Scratch tables made inside belong to ``owner``, whose earlier ones go first; others' stay."""
+    release(spark, owner)
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
 class Table:
     """A DataFrame written to the shared folder: cuts lineage and outlives executors."""
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm import decontamination, html_extract, language_id, license_scan, line_dedup, packing, rans_io, simhash, tokens, topk, toxicity
 
@@ -374,6 +375,63 @@ def test_pipeline(spark):
     assert len(got) and sizes.max() <= 1024 and got.doc_id.notna().all()
 
 
+def _edge_tables(spark, at, rows):
+    made = docs(spark, rows).withColumnsRenamed({"q": "lang_pred", "rank": "th", "n": "d"})
+    made.write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("doc_id", F.lit("x")).write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "dog", "ran", "far"], n))
+    rows = [(i, prose(30), "en") for i in range(12)] + [(20, None, "en"), (21, "", "en"), (22, "½ ²", None), (23, "12 !", None)]
+    own, lone, clean, dirty = prose(40), prose(40), prose(40), prose(8) + " " + item + " " + prose(8)
+    rows += [(None, own, "en"), (None, own, "en"), (30, lone, "en"), (30, clean, "en"), (30, dirty, None), (None, dirty + " x", "en")]
+    sf = _edge_tables(spark, tmp_path / "some", rows)
+    out, at = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, sf)
+        assert out.columns == corpus_pipeline.COLUMNS
+        out.write.parquet(f"{sf}/{name}")
+        out = spark.read.parquet(f"{sf}/{name}")
+        at.append([(r.doc_id, r.text) for r in out.collect()])
+    assert {20, 21, 22, 23}.isdisjoint(i for i, _ in at[0]) and len(at[0]) == len(rows) - 4
+    assert at[2].count((None, own)) == 1 and (30, lone) in at[2] and (30, clean) in at[2]
+    assert (30, dirty) not in at[3] and all(item not in t for _, t in at[3]) and {(30, lone), (30, clean), (None, own)} <= set(at[3])
+    packed = corpus_pipeline.run(spark, sf).toPandas()
+    assert len(packed) == len(at[3]) and packed.doc_id.isna().sum() == 1
+    empty = _edge_tables(spark, tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_keeps_the_scratch_of_other_queries(spark):
+    import corpus_pipeline
+
+    made = docs(spark, EDGE)
+    found = simhash.near_duplicates(made)
+    corpus_pipeline.language(spark, made, SF)
+    corpus_pipeline.pack(spark, made, SF)
+    assert found.count() == len(EDGE)
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"line {i} holds the words of a very long text {i * 7919}" for i in range(400_000))
+    assert len(text) > 18_000_000
+    made = docs(spark, [(1, text, "en"), (2, "a short text", "en"), (3, text, "en")])
+    model = language_id.fit([("en", "the cat sat on the mat") for _ in range(5)] + [("fr", "le chat noir est dans la maison") for _ in range(5)])
+    assert {r.doc_id for r in language_id.predict(made, model).collect()} == {1, 2, 3}
+    assert [r.n_removed for r in line_dedup.dedup_lines(made).orderBy("doc_id").select("n_removed").collect()] == [0, 0, 400_000]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(made).collect()} == {1: 1, 2: 2, 3: 1}
+    packed = packing.pack(made).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert len({r.n for r in packed if r.doc_id != 2}) == 1
+    bench = spark.createDataFrame([(1, "holds the words of a very long text")], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(made, bench).collect()} == {1, 3}
+
+
 def test_held_out_matches_crc32(spark):
     from latticework.llm.common import held_out
 
