@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, text_or_empty, tuned
+from .common import Table, text_or_empty, tidy, tuned
 from .tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, k long"
@@ -37,6 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     """A row per piece; ``k`` counts a task's pieces of that length, ``shard`` is the task."""
     tuned(docs.sparkSession)
 
+    @tidy
     def cut(batches):
         from pyspark import TaskContext
 
@@ -59,6 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "k", "ids"]
             m = 8 if with_ids else 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:m], kinds, strict=False)], names=names[:m])
+        enc.forget()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return read.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))

@@ -43,21 +43,25 @@ class Encoder:
     """Bytes of little-endian unsigned 32-bit ids; the look-up holds ``limit`` words at most.
 
     The look-up has two generations: when the young one is full it becomes the old one, and words of
-    the old one that are met again move back, so the words in use stay.
+    the old one that are met again move back, so the words in use stay. A word is up to ``longest``
+    characters, so the look-up is bounded in bytes too (about 200 a word at most).
     """
 
-    def __init__(self, path: str, limit: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, limit: int = 500_000, longest: int = 40, at_once: int = 8_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        self.cut = Tokenizer.from_file(path)  # the same model for text that is cut and in the byte-level alphabet
-        self.cut.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.tokenizer, self.limit, self.longest, self.at_once = Tokenizer.from_file(path), limit, longest, at_once
+        self.usual, self.at_blanks = self.tokenizer.pre_tokenizer, pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():  # in a byte-level vocabulary each byte is one character
             self.n_bytes[k] = len(token)
         self.first = {"\0": self.whole("\n")}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the look-up: at the end of a task, since the worker goes on with other tasks."""
         self.young, self.old = dict(self.first), {}
 
     def whole(self, text: str) -> bytes:
@@ -80,7 +84,11 @@ class Encoder:
     def _plain(self, words: list[str]) -> list[bytes]:
         """The same for words that ``_PLAIN`` matches."""
         text = (_BLANK + f" {_BLANK}".join(words)).replace(_BLANK + "\0", _NEWLINE + " ")
-        raw = array("I", self.cut.encode_batch_fast([_AFTER_LETTERS.sub(" ", text)], add_special_tokens=False)[0].ids).tobytes()
+        self.tokenizer.pre_tokenizer = self.at_blanks  # the text is cut already, and in the byte-level alphabet
+        try:
+            raw = self.whole(_AFTER_LETTERS.sub(" ", text))
+        finally:
+            self.tokenizer.pre_tokenizer = self.usual
         return self._apart(raw, [len(w) + (w[0] != "\0") for w in words])
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
@@ -94,8 +102,9 @@ class Encoder:
             elif _WORD.fullmatch(w) and _SPECIAL not in w:
                 new.append(w)
         for words, encode in ((plain, self._plain), (new, self._new)):
-            if words:
-                got.update(zip(words, encode(words), strict=True))
+            for at in range(0, len(words), self.at_once):
+                some = words[at : at + self.at_once]
+                got.update(zip(some, encode(some), strict=True))
         if len(self.young) + len(got) > self.limit // 2:
             self.old, self.young = self.young, dict(self.first)
         for w, ids in got.items():
@@ -103,7 +112,7 @@ class Encoder:
                 self.young[w] = ids
         return got
 
-    def many(self, texts: pa.Array | list[str], step: int = 4_000_000) -> list[bytes]:
+    def many(self, texts: pa.Array | list[str], step: int = 2_000_000) -> list[bytes]:
         """The ids of each text, as many texts at a time as have ``step`` bytes, and one at least."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         ends, out, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
