@@ -36,6 +36,16 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Gives what the allocators of this process hold free back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A function over Arrow batches whose worker gives free memory back between batches and at the end.
 
@@ -45,19 +55,15 @@ def tidy(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def wrapped(batches):
-        import ctypes
-
         import pyarrow as pa
 
-        pool, trim = pa.default_memory_pool(), getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
         try:
             for batch in run(batches):
                 yield batch
                 del batch
-                pool.release_unused()
+                pa.default_memory_pool().release_unused()
         finally:
-            pool.release_unused()
-            trim(0)
+            trim()
 
     return wrapped
 

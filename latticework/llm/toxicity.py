@@ -2,14 +2,23 @@
 
 Features: the set of hashed byte n-grams (n = 3 to 6) inside the words of the lower-cased text, with
 word edges marked. Class counts of every feature come from all labelled training rows, summed in
-the cluster. The log-count ratio r of a feature is its naive Bayes weight; a logistic regression
-then learns weights for r-scaled features. It is fitted on the driver on a bounded sample of
-labelled rows (``sample``, chosen by hash of the id) over the ``kept`` features with the strongest
-class evidence. Scores come from the whole text.
+the cluster. The log-count ratio r of a feature is its naive Bayes weight, with ``SMOOTHING`` documents
+of the average mix added, and shrunk by how far its class counts are from chance: by 1 - ``CHANCE`` / z**2
+for z standard errors, 0 at least. There is no limit to the number of features: the more rows are
+labelled, the more have a ratio. A logistic regression then learns weights of the r-scaled features:
+one weight that all share, and for each what it differs from that by. Features that the fitted rows do
+not hold keep the shared weight of their ratio.
+
+The regression is fitted on the driver on a bounded sample of labelled rows: ``sample`` rows of each
+class at most, in the order of a hash of the id, as long as the rows before have fewer than
+``sample_features`` features together. Classes count by their share of all rows. Scores come from the
+whole text.
 
 Edge cases: null text is the empty text and gets the score of no feature; null labels and labels of
 ids without a document are not learnt from; without labelled rows of both classes every score is
-the share of toxic labels (0 without labels); rows that repeat an id are scored each.
+the share of toxic labels (0 without labels); rows that repeat an id are scored each, and conflicting
+labels of an id count as toxic; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,12 +27,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_or_empty, tuned
+from .common import Table, held_out, text_or_empty, tidy, trim, tuned
 
-ORDERS, HASH_BITS = (3, 4, 5, 6), 18
+ORDERS, HASH_BITS, SMOOTHING, CHANCE = (3, 4, 5, 6), 18, 4.0, 4.0
 _SPLIT = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _MUL = np.uint32(0x01000193)
 
@@ -58,92 +67,129 @@ class Scratch:
         self.flags = np.zeros(1 << HASH_BITS, bool)
 
     def unique(self, x: np.ndarray) -> np.ndarray:
+        if len(x) < 1 << 12:
+            return np.unique(x)
         self.flags[x] = True
         out = np.flatnonzero(self.flags)
         self.flags[out] = False
         return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
-    """``doc_id, y`` of the rows to learn from; a document's conflicting labels are averaged up."""
+def labelled(labels: DataFrame, target: str = "toxic") -> DataFrame:
+    """``doc_id, y`` of the rows to learn from, one for each id."""
     return labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(target) > 0).cast("int")).alias("y"))
 
 
 def class_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of each class, and for each class and feature the rows that have it."""
+    """Rows of each class, and for each class and feature the rows that have it.
+
+    A task sends one row for each feature it met; the rows are summed in the JVM, and as many numbers
+    as there are hash values reach the driver. The number behind the last feature stands for the rows.
+    """
     size = 1 << HASH_BITS
 
+    @tidy
     def count(batches):
-        from pyspark import TaskContext
-
-        total, seen, flags = np.zeros((2, size), np.int64), np.zeros(2, np.int64), Scratch()
+        total, flags = np.zeros((2, size + 1), np.int64), Scratch()
         for batch in batches:
             for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 total[y, flags.unique(grams(text))] += 1
-                seen[y] += 1
-        yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId() % 16], pa.int32()), "n": [seen.tobytes()], "c": [total.tobytes()]})
-
-    def add(pdf):
-        return pdf.iloc[:1].assign(n=[sum(np.frombuffer(x, np.int64) for x in pdf.n).tobytes()], c=[sum(np.frombuffer(x, np.int64) for x in pdf.c).tobytes()])
+                total[y, size] += 1
+        met = np.flatnonzero(total.any(0))
+        for at in range(0, len(met), 20_000):
+            some = met[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0, some]), pa.array(total[1, some])], names=["k", "c0", "c1"])
 
-    schema = "k int, n binary, c binary"
     # labels grow with the documents, so the join is a sort-merge join at every size
-    rows = docs.join(known.hint("merge"), "doc_id").select("text", "y").mapInArrow(count, schema).groupBy("k").applyInPandas(add, schema).collect()
-    n = sum((np.frombuffer(r.n, np.int64) for r in rows), np.zeros(2, np.int64))
-    return n, sum((np.frombuffer(r.c, np.int64) for r in rows), np.zeros(2 * size, np.int64)).reshape(2, size)
-
-
-def fit_logistic(indptr: np.ndarray, cols: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights for r-scaled binary features, by accelerated gradient descent over sparse rows."""
-    n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(indptr))
-    vals = r[cols]
-    sq = np.bincount(rows, vals * vals, n)
-    rate = 1 / (0.25 * max(1e-9, float(np.quantile(sq, 0.99)) + 1) + l2)
-    w, b = np.zeros(len(r)), 0.0
-    vw, vb = w.copy(), b
+    rows = docs.join(known.hint("merge"), "doc_id").select("text", "y").mapInArrow(count, "k int, c0 long, c1 long").groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
+    counts = np.zeros((2, size + 1), np.int64)
+    for y in (0, 1):
+        counts[y, rows["k"].to_numpy()] = rows[f"c{y}"].to_numpy()
+    return counts[:, size], counts[:, :size]
+
+
+def log_ratios(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The naive Bayes weight of each feature: log of its share of toxic over its share of other rows."""
+    extra = SMOOTHING * n / n.sum()
+    ratio = np.log((counts[1] + extra[1]) / n[1]) - np.log((counts[0] + extra[0]) / n[0])
+    share = counts.sum(0) / n.sum()
+    # one row is added to the variance, so that what hardly ever occurs is no evidence
+    z2 = (counts[1] - n[1] * share) ** 2 / (share * (1 - share) * n[0] * n[1] / n.sum() + 1)
+    return ratio * np.maximum(0, 1 - CHANCE / np.maximum(z2, 1e-9))
+
+
+def fit_logistic(indptr: np.ndarray, cols: np.ndarray, r: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights for r-scaled binary features and the bias, by accelerated gradient descent over sparse rows.
+
+    Minimises the weighted mean logistic loss and ``l2 / 2`` times the squares of what the weights
+    differ from the one they share. Rows without a feature have no say in the weights.
+    """
+    n_of, vals = np.diff(indptr), r[cols].astype(np.float32)
+    full, starts = np.flatnonzero(n_of), indptr[:-1][n_of > 0]
+    weight = weight / weight.sum()
+
+    def per_row(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y))
+        if len(starts):
+            out[full] = np.add.reduceat(x, starts)
+        return out
+
+    shared = per_row(vals.astype(np.float64))
+    scale = max(1e-9, float(np.sqrt((weight * shared * shared).sum())))
+    shared /= scale
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return per_row(vals * v[cols]) + v[-2] * shared + v[-1]
+
+    def back(e: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(cols, vals * np.repeat(e, n_of), len(r)), [e @ shared, e.sum()]])
+
+    probe = np.ones(len(r) + 2)
+    for _ in range(12):  # the largest curvature, by power iteration
+        probe = back(weight * forward(probe / np.linalg.norm(probe)))
+    rate, loss = 1 / (0.25 * 1.1 * np.linalg.norm(probe) + l2), np.append(np.full(len(r), l2), [0.0, 0.0])
+    w = np.zeros(len(r) + 2)
+    v = w.copy()
     for t in range(steps):
-        z = np.bincount(rows, vals * vw[cols], n) + vb
-        e = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        nw, nb = vw - rate * 8 * (np.bincount(cols, vals * e[rows], len(r)) / n + l2 * vw), vb - rate * 8 * e.mean()
-        k = t / (t + 3)
-        vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
-    return w, b
+        e = weight * (1 / (1 + np.exp(-np.clip(forward(v), -35, 35))) - y)
+        new = v - rate * (back(e) + loss * v)
+        v, w = new + t / (t + 3) * (new - w), new
+    return w[:-2] + w[-2] / scale, float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 20_000, kept: int = 2048) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 10_000, sample_features: int = 6_000_000) -> tuple[np.ndarray, float]:
     """A weight per hashed feature, and the bias."""
-    known = labelled(docs, labels, target)
+    known = labelled(labels, target)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(~held_out())
     n, counts = class_counts(texts, known)
-    weights = np.zeros(1 << HASH_BITS)
     if not n.all():
         share = min(1 - 1e-6, max(1e-6, n[1] / max(1, n.sum())))
-        return weights, float(np.log(share / (1 - share)))
-    p, q = (counts[1] + 1) / (n[1] + 2), (counts[0] + 1) / (n[0] + 2)
-    ratio = np.log(p / q)
-    both = (counts.sum(0) + 1) / (n.sum() + 2)
-    # evidence of a feature: mutual information of its presence and the class
-    prior, info = n / n.sum(), 0.0
-    for share, own in ((p, prior[1]), (q, prior[0])):
-        info = info + own * (share * np.log(share / both) + (1 - share) * np.log((1 - share) / (1 - both)))
-    chosen = np.sort(np.argsort(-info, kind="stable")[:kept])
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        return np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share)))
+    ratio = log_ratios(n, counts)
+    live = ratio != 0  # the others add nothing to any score
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
 
+    @tidy
     def present(batches):
         flags = Scratch()
         for batch in batches:
-            got = [place[flags.unique(grams(t))] for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.array([g[g >= 0].astype("<i4").tobytes() for g in got], pa.binary())], names=["y", "cols"])
-
-    # at most ``sample`` ids, so the broadcast is bounded
-    rows = texts.join(F.broadcast(few), "doc_id").select("y", "text").mapInArrow(present, "y int, cols binary").toPandas()
-    sets = [np.frombuffer(x, "<i4") for x in rows.cols]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    w, bias = fit_logistic(indptr, np.concatenate([*sets, np.empty(0, np.int32)]).astype(np.int64), ratio[chosen], rows.y.to_numpy(float))
-    weights[chosen] = w * ratio[chosen]
-    return weights, bias
+            got = [flags.unique(g[live[g]]).astype("<i4") for g in map(grams, batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["y"], batch["k"], batch["doc_id"], pa.array([len(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], names=["y", "k", "doc_id", "n", "cols"])
+
+    # at most ``2 * sample`` ids, so the broadcast is bounded, and so is the table (rows that repeat an id aside)
+    made = Table(texts.join(F.broadcast(few), "doc_id").select("y", "k", "doc_id", "text").mapInArrow(present, "y int, k int, doc_id long, n long, cols binary"), "sample").df
+    before = Window.orderBy("k", "y", "doc_id", "n", F.xxhash64("cols")).rowsBetween(Window.unboundedPreceding, -1)
+    # both classes in turn; the window holds the sample's numbers of features alone
+    chosen = made.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample_features)
+    rows = chosen.select("y", "cols").toArrow()
+    y = rows["y"].to_numpy().astype(np.int64)
+    sizes = [len(x) // 4 for x in rows["cols"].to_pylist()]
+    cols = np.frombuffer(b"".join(rows["cols"].to_pylist()), "<i4")
+    own = np.bincount(y, minlength=2)
+    w, bias = fit_logistic(np.concatenate([[0], np.cumsum(sizes)]), cols, ratio, y, (n / np.maximum(own, 1))[y])
+    trim()
+    return w * ratio, bias
 
 
 def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.3) -> DataFrame:
@@ -152,15 +198,12 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
     weights, bias = fit(docs, labels, target)
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2**HASH_BITS numbers
 
+    @tidy
     def run(batches):
         w, flags = shared.value.astype(np.float64), Scratch()
-        used = w != 0
+        live = w != 0
         for batch in batches:
-            z = []
-            for text in batch["text"].to_pylist():
-                g = grams(text)
-                g = g[used[g]]
-                z.append(bias + (w[np.unique(g)].sum() if len(g) else 0.0))
+            z = [bias + w[flags.unique(g[live[g]])].sum() for g in map(grams, batch["text"].to_pylist())]
             p = 1 / (1 + np.exp(-np.clip(np.asarray(z, float), -35, 35)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -325,6 +325,47 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs(spark, EDGE), labels.limit(0)).collect()} == {toxicity.score(docs(spark, [(1, "a", None)]), labels.limit(0)).first().score}
 
 
+def test_toxicity_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "idiotic", "green", "walk", "", "fool"], rng.integers(0, 6))), None) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(rng.random() < (0.9 if "idiotic" in t else 0.2))) for i, t, _ in rows if i % 7], "doc_id long, toxic int")
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    sets = {i: {(" " + w + " ")[a : a + n] for w in t.split() for n in (3, 4, 5, 6) for a in range(len(w) + 3 - n)} for i, t, _ in rows}
+    names = sorted(set().union(*sets.values()))
+    n = np.asarray([sum(v == c for v in y.values()) for c in (0, 1)])
+    x = np.asarray([[g in sets[i] for g in names] for i in y], float)
+    t = np.asarray(list(y.values()))
+    counts = np.asarray([x[t == c].sum(0) for c in (0, 1)])
+    extra = 4.0 * n / n.sum()
+    r = np.log((counts[1] + extra[1]) / n[1] / ((counts[0] + extra[0]) / n[0]))
+    share = counts.sum(0) / n.sum()
+    z = (counts[1] - n[1] * share) / np.sqrt(share * (1 - share) * n[0] * n[1] / n.sum() + 1)
+    r = np.where(z**2 > 4, r * (1 - 4 / np.maximum(z**2, 1e-9)), 0)
+    assert 0 < (r != 0).sum() < len(r)
+    shared = (x * r).sum(1)
+    a = np.hstack([x * r, (shared / np.sqrt((shared**2).mean()))[:, None], np.ones((len(t), 1))])
+    w, l2 = np.zeros(a.shape[1]), np.append(np.full(len(names), 1e-4), [0, 0])
+    for _ in range(60):  # Newton
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.lstsq(a.T @ (a * (p * (1 - p) / len(t))[:, None]) + np.diag(l2 + 1e-12), a.T @ (p - t) / len(t) + l2 * w, rcond=None)[0]
+    made = docs(spark, rows)
+    known = toxicity.labelled(labels)
+    got_n, got = toxicity.class_counts(made.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), known)
+    assert got_n.tolist() == n.tolist() and got.sum() == counts.sum()
+    full = np.asarray([[g in sets[i] for g in names] for i, _, _ in rows], float)
+    weight = (w[:-2] + w[-2] / np.sqrt((shared**2).mean())) * r
+    want = 1 / (1 + np.exp(-(full @ weight + w[-1])))
+    score = {q.doc_id: q.score for q in toxicity.score(made, labels).collect()}
+    assert max(abs(score[i] - want[k]) for k, (i, _, _) in enumerate(rows)) < 0.02
+
+
+def test_toxicity_edge_cases(spark):
+    labels = spark.createDataFrame([(1, 1, "x", None), (1, 0, "y", 3), (3, 0, "z", 4), (4, 0, "z", 4), (99, 1, "z", 4)], "doc_id long, toxic int, text string, k int")
+    got = toxicity.score(docs(spark, EDGE).withColumnsRenamed({"q": "score", "rank": "y", "n": "k"}), labels).collect()
+    assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    assert toxicity.score(docs(spark, []), labels).count() == 0
+
+
 def test_rans_round_trip(spark, documents):
     for n in (0, 1, 40, 70_000):
         ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000).astype("<u4")
