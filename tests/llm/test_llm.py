@@ -217,8 +217,44 @@ def test_html(spark):
     got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")).collect()}
     assert {i: got[i].text for i in want} == want
     assert got[50].text == "" and got[51].text == "one\ntwo" and got[51].n_chars == 7 and got[52].text == ""
-    wrapper = html_extract.infer([html_extract.fold(html_extract.tokens(r[2])[0]) for r in rows[:12]])
-    assert all(html_extract.match(wrapper, html_extract.tokens(r[2])[0]) is not None for r in rows[:1])
+    wrapper = html_extract.numbered(html_extract.infer([html_extract.fold(html_extract.tokens(r[2])[0]) for r in rows[:12]]))
+    assert all(html_extract.match(wrapper, html_extract.tokens(r[2])[0]) is not None for r in rows[:12])
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_every_stream_matches_its_wrapper():
+    rng = np.random.default_rng(3)
+    follow = 0
+    for _ in range(150):
+        streams = [rng.choice(["<p", "/p", "<b", "#", "<li", "/li"], rng.integers(0, 40)).tolist() for _ in range(5)]
+        wrapper = html_extract.numbered(html_extract.infer([html_extract.fold(x) for x in streams]))
+        steps, places = html_extract.program(wrapper), sum(x == "#" for x in html_extract._flat(html_extract.infer([html_extract.fold(x) for x in streams])))
+        for x in streams:
+            for got in (html_extract.match(wrapper, x), html_extract._follow(steps, x)):
+                assert got is not None and len(got) == x.count("#") and all(0 <= p < places for p in got)
+            follow += html_extract._greedy(wrapper, x) is None
+    assert follow  # some are matched only by following all ways
+    long = ["<p", "#", "/p"] * 50_000 + [f"<h{i}" for i in range(30)] * 2
+    assert len(html_extract.fold(long)) <= 3
+
+
+def _hosts(n, end, host="a.com"):
+    word = lambda i: " ".join(f"{'abcdefghij'[int(c)]}{k}" for k, c in enumerate(str(1000 + i)))
+    return [(i, f"http://{host}/{i}", f"<article><h1>{word(i)}</h1>" + "".join(f"<p>{word(i)} {k}</p>" for k in range(1 + i % 4)) + end + "</article>") for i in range(n)]
+
+
+def test_html_template_texts_are_found_by_the_wrapper_alone(spark, monkeypatch):
+    end = "<p>Share the word with all your friends today</p>"
+    made = _hosts(20, end) + [(100 + i, f"http://few.com/{i}", h) for i, _, h in _hosts(2, end)]
+    same = _hosts(1, end)[0][2]
+    made += [(200 + i, "http://copies.com/x", same) for i in range(20)] + [(300 + i, "http://copies.com/y", h) for i, _, h in _hosts(3, "<p>z</p>")[1:]]
+    pages = spark.createDataFrame([(*m, "x", 1, "y") for m in made], "page_id long, url string, html string, host string, n int, wrapper string")
+    for fan in (64, 2):
+        monkeypatch.setattr(html_extract, "FAN", fan)
+        got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+        assert len(got) == len(made) and not any("Share" in got[i] for i in range(20)) and all(got[i].count("\n") == 1 + i % 4 for i in range(20))
+        assert all(got[100 + i].endswith("friends today") for i in range(2)) and all(got[200 + i].endswith("friends today") for i in range(20))
+        assert all(html_extract.placed(h, html_extract.ready_for([html_extract.infer([html_extract.fold(html_extract.tokens(x[2])[0]) for x in made[:20]])]))[1] != [-1] for _, _, h in made[:20])
 
 
 def brute_components(fps, ids, radius):
