@@ -175,6 +175,29 @@ def test_topk(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def _top(made, ids, q, k=10):
+    """Brute force by unbounded integers: rows of the query's dimension and other ids."""
+    own = [int(v) for v in np.floor(1024 * np.asarray(made[q]))]
+    scores = [(-max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(own, np.floor(1024 * np.asarray(x)))))), i) for i, x in zip(ids, made.values()) if i != q and len(x) == len(own)]
+    return [(i, -s) for s, i in sorted(scores)[:k]]
+
+
+def test_topk_of_clusters_large_values_and_other_dimensions(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    made = {i: list((centres[i % 20] + rng.normal(size=16) * 0.03) * (1 + i % 3)) for i in range(1500)}
+    made |= {2000: [1e7] * 16, 2001: [-1e7] * 16, 2002: [1e300] * 16, 2003: [0.0] * 16, 2100: [3e9, 1.0], 2101: [1.0, 2.0], 2200: [0.5, 0.25], 2300: [0.0] * 16, 2400: [1e7] * 16, 2500: [1e200] * 16}
+    rows = spark.createDataFrame([(i, [float(v) for v in x], 0, 1, "s") for i, x in made.items()] + [(2600, [1.7e308] * 16, 0, 1, "s")], "vec_id long, embedding array<double>, cell int, dim int, v string")
+    got, work = topk.search(rows, 10, 100, "vec_id", "embedding", 24, 16, 4096, 64, None, None)
+    got = got.toPandas()
+    for q in [i for i in made if i % 100 == 0]:
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(zip(own.vec_id, own.score)) == _top(made, made, q), q
+    assert set(got.query_id) == {i for i in made if i % 100 == 0}
+    met = work.where("vec_id < 1500").groupBy("vec_id").agg(F.sum("rows").alias("n")).agg(F.avg("n")).first()[0]
+    assert met < 0.5 * len(made)  # the bounds stop the search
+
+
 def _name(i):
     return "".join("bcdfghjklm"[int(c)] for c in f"{i:05d}")
 
