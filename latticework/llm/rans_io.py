@@ -1,22 +1,25 @@
 """Token-id output: static range asymmetric numeral system (rANS) images.
 
-Documents are dealt by ranges of ``doc_id``. A task encodes its documents in order and cuts them
-into images of about ``image_tokens`` ids, so memory is bounded whatever a partition holds. An image
-has one frequency table, shared by all its blocks. A block is ``block_tokens`` ids in ``LANES``
-interleaved coder states that share one word stream; blocks depend on nothing but the table. The
-block directory (first id, first word, CRC-32 of the block's words) is the list of checkpoints: a
-reader can start at any block, and numpy decodes all blocks of an image side by side.
-
-Images are stored as rows of a Parquet table (one binary value each) because that is what every
-store that Spark writes to can hold; ``encode_image`` and ``decode_image`` are the format itself.
-
-Layout, little-endian: ``RANS1``; u32 documents, u64 ids, u32 symbols, u32 blocks, u32 block size;
-i64 doc ids; u8 null flags of doc ids; u32 ids per document; u32 symbols; u32 frequencies
-(sum ``2**PROB_BITS``); per block u64 first word and u32 CRC-32; u64 final states; u32 words; u32
-CRC-32 of everything before.
+Documents are dealt by ranges of ``doc_id``, and by a hash of the text and the place in the input where
+many rows share one id or have none. A task encodes its documents in order and cuts them into images of
+about ``image_tokens`` ids, so memory is bounded whatever a partition holds. An image has one frequency
+table, shared by all its blocks. A block is ``block_tokens`` ids in ``LANES`` interleaved coder states
+that share one word stream; blocks depend on nothing but the table. The block directory (first id, first
+word, CRC-32 of the block's words) is the list of checkpoints: a reader can start at any block, and numpy
+decodes all blocks of an image side by side.
+
+An image is a file of this format and nothing else, but for a newline at its end. Spark writes it, through
+its writer of text that takes bytes as they are, so any store that Spark reaches can hold the files and
+its commit protocol makes retries safe; any program can read them.
+
+Layout, little-endian: ``RANS2``; u32 part, u32 number in the part, u64 ids of the part before; u32
+documents, u64 ids, u32 symbols, u32 blocks, u32 block size; i64 doc ids; u8 null flags of doc ids; u32 ids
+per document; u32 symbols; u32 frequencies (sum ``2**PROB_BITS``); per block u64 first word and u32
+CRC-32; u64 final states; u32 words; u32 CRC-32 of everything before.
 
 Edge cases: null text is the empty text (one id, the end id); null doc ids come first; rows that
-repeat a doc_id are kept, ordered by text; an empty table gives an empty directory and no rows.
+repeat a doc_id are kept, ordered by a hash of the text; an empty table gives a folder without images and
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_or_empty, tuned
+from .common import scratch_path, text_or_empty, tidy, tuned
 from .tokens import default_tokenizer, encoder
 
 PROB_BITS, LANES, LOW = 20, 32, np.uint64(1 << 31)
-_HEAD = "<5sIQIII"
-IMAGES = "part int, seg int, part_start long, n_docs int, n_tokens long, image binary"
+_HEAD, MAGIC = "<5sIIQIQIII", b"RANS2"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -56,13 +58,14 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return f.astype(np.uint64)
 
 
-def encode_image(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = 32_768) -> bytes:
+def encode_image(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = 32_768, place: tuple[int, int, int] = (0, 0, 0)) -> bytes:
+    """``place``: the part, the number of the image in it and the ids of the part before."""
     n, width = len(ids), block // LANES
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
     index, counts = (np.cumsum(counts > 0) - 1)[ids], counts[symbols]
     blocks = -(-n // block)
-    head = struct.pack(_HEAD, b"RANS1", len(doc_ids), n, len(symbols), blocks, block)
+    head = struct.pack(_HEAD, MAGIC, *place, len(doc_ids), n, len(symbols), blocks, block)
     body = [head, doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), lengths.astype("<u4").tobytes()]
     if n:
         freq = frequencies(counts)
@@ -100,8 +103,8 @@ def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Doc ids, their null flags, ids per document, all ids. Raises if a checksum differs."""
     if zlib.crc32(image[:-4]) != struct.unpack("<I", image[-4:])[0]:
         raise ValueError("damaged image")
-    magic, docs, n, kinds, blocks, block = struct.unpack_from(_HEAD, image)
-    if magic != b"RANS1":
+    magic, _, _, _, docs, n, kinds, blocks, block = struct.unpack_from(_HEAD, image)
+    if magic != MAGIC:
         raise ValueError("not a rANS image")
     at = struct.calcsize(_HEAD)
 
@@ -143,10 +146,11 @@ def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, image_tokens: int = 4_000_000) -> None:
-    """Encodes ``docs(doc_id, text)`` into images under ``path``, in ascending doc_id order."""
+    """Encodes ``docs(doc_id, text)`` into image files under ``path``, in ascending doc_id order."""
     tokenizer = tokenizer or default_tokenizer()
     tuned(docs.sparkSession)
 
+    @tidy
     def encode(batches):
         from pyspark import TaskContext
 
@@ -156,8 +160,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         def image():
             blob = np.frombuffer(b"".join(got), "<u4")
             lengths = np.asarray([len(x) // 4 for x in got])
-            made = encode_image(np.asarray(ids, np.int64), np.asarray(nulls, bool), lengths, blob)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "part_start": [start], "n_docs": pa.array([len(ids)], pa.int32()), "n_tokens": [len(blob)], "image": pa.array([made], pa.binary())})
+            made = encode_image(np.asarray(ids, np.int64), np.asarray(nulls, bool), lengths, blob, place=(part, seg, start))
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["image"])
 
         for batch in batches:
             for doc_id, own in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"]), strict=True):
@@ -170,31 +174,49 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                     seg, start, held, ids, nulls, got = seg + 1, start + held, 0, [], [], []
         if ids:
             yield image()
+        enc.forget()
+
+    order = ["doc_id", "th", "at"]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("at"), text_or_empty().alias("text"))
+    images = read.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, "image binary")
+    # bytes are text to the writer, which puts a newline behind each: with one row a file the image and a newline
+    images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(encode, IMAGES).write.parquet(path)
+def _image(content: bytes) -> bytes:
+    return content[:-1]  # without the newline
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document: ``doc_id, start, n_tokens, ids_crc32``, decoded from the images.
+    """One row per document: ``doc_id, start, n_tokens, ids_crc32``, decoded from the image files.
 
     Only one row per writing task (its number of ids) comes to the driver, for the starts.
     """
-    images = spark.read.schema(IMAGES).parquet(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.col("length") > struct.calcsize(_HEAD))
+
+    def heads(batches):
+        for batch in batches:
+            got = [struct.unpack_from(_HEAD, x.as_py()) for x in batch["head"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in got], pa.int64()), pa.array([x[5] for x in got], pa.int64())], names=["part", "n"])
+
+    head = files.select(F.substring("content", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "part long, n long")
     offsets, total = {}, 0
-    for part, n in sorted((r[0], r[1]) for r in images.groupBy("part").agg(F.sum("n_tokens")).collect()):
+    for part, n in sorted((r[0], r[1]) for r in head.groupBy("part").agg(F.sum("n")).collect()):
         offsets[part], total = total, total + n
 
+    @tidy
     def decode(batches):
         for batch in batches:
-            for part, start, image in zip(batch["part"].to_pylist(), batch["part_start"].to_pylist(), batch["image"], strict=True):
-                doc_ids, nulls, lengths, ids = decode_image(image.as_py())
+            for content in batch["content"]:
+                image = _image(content.as_py())
+                part, _, start = struct.unpack_from(_HEAD, image)[1:4]
+                doc_ids, nulls, lengths, ids = decode_image(image)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, mask=nulls), "start": pa.array(offsets[part] + start + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return images.select("part", "part_start", "image").mapInArrow(decode, DIGEST)
+    return files.select("content").mapInArrow(decode, DIGEST)
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:

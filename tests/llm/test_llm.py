@@ -441,6 +441,26 @@ def test_rans_round_trip(spark, documents):
     assert rans_io.token_output(docs(spark, EDGE)).count() == len(EDGE) and rans_io.token_output(docs(spark, [])).count() == 0
 
 
+def test_rans_files_are_images(spark, documents, tmp_path):
+    path = str(tmp_path / "images")
+    rans_io.write(documents.withColumn("th", F.lit("x")), path, image_tokens=20_000)
+    files = sorted(tmp_path.glob("images/part-*"))
+    enc, want = tokens.encoder(tokens.default_tokenizer()), {r.doc_id: r.text or "" for r in documents.collect()}
+    got = {}
+    for f in files:
+        doc_ids, nulls, lengths, ids = rans_io.decode_image(f.read_bytes()[:-1])
+        assert not nulls.any()
+        for d, part in zip(doc_ids.tolist(), np.split(ids, np.cumsum(lengths)[:-1])):
+            got[d] = part.astype("<u4").tobytes()
+    assert len(files) > 4 and got == {d: enc.whole(t) + (2).to_bytes(4, "little") for d, t in want.items()}
+
+
+def test_rans_of_one_id_for_all(spark):
+    made = docs(spark, [(None, f"text {i % 50}", None) for i in range(300)] + [(7, "the same text", None)] * 300).repartition(4).cache()
+    got = rans_io.token_output(made).toPandas().sort_values("start")
+    assert len(got) == 600 and (got.start.to_numpy() == np.cumsum(got.n_tokens) - got.n_tokens).all() and got.doc_id.isna()[:300].all()
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(8)
     pool = [" ".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(1, 9, 12)] + [""]
