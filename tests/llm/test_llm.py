@@ -32,6 +32,35 @@ def test_license_scan(spark, documents):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def _shares(text, template, shingle=3, window=6):
+    """The largest share of a template's distinct shingles that any stretch of a text has, by brute force."""
+    import regex
+
+    a, b = ([tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] for w in ((regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip().split(" ")) for x in (text, template)))
+    size, want = len(b) + 2 * window - 2, set(b)
+    return max((len(want & set(a[i : i + size])) / len(want) for i in range(max(1, len(a) - len(b)))), default=0.0)
+
+
+def test_license_scan_against_brute_force(spark, documents):
+    rng = np.random.default_rng(1)
+    rows = [(r.doc_id, r.text, None) for r in documents.collect()[:60]]
+    for k, (name, template) in enumerate(license_scan.TEMPLATES.items()):
+        words = template.split()
+        for i, drop in enumerate((0, 1, 3, 8)):
+            own = [w for j, w in enumerate(words) if j not in set(rng.choice(len(words), min(drop, len(words) // 3), replace=False))]
+            rows.append((1000 + 10 * k + i, " ".join(["some", "words", "before", *own, "and", "after"]), None))
+    rows += [(None, "Released under the MIT License. Here", None), (None, "This work is licensed under a Creative Commons Attribution 4.0 International License.", None)]
+    made, want = docs(spark, rows).withColumn("license", F.lit("x")), set()
+    for i, t, _ in rows:
+        want |= {(i, n) for n, template in license_scan.TEMPLATES.items() if _shares(t or "", template) >= 0.8}
+    for limit in (200_000, 0):
+        got = license_scan.scan(made, max_index=limit).collect()
+        assert {(r.doc_id, r.license) for r in got} == want and len(got) == len(want) and any(r.doc_id is None for r in got)
+        for r in got:
+            text = next(t for i, t, _ in rows if i == r.doc_id and r.containment <= round(_shares(t or "", license_scan.TEMPLATES[r.license]), 6))
+            assert r.first_word < len(text.split())
+
+
 def test_language_id(spark, documents):
     got = language_id.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
