@@ -100,8 +100,10 @@ def class_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndar
             some = met[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0, some]), pa.array(total[1, some])], names=["k", "c0", "c1"])
 
-    # labels grow with the documents, so the join is a sort-merge join at every size
-    rows = docs.join(known.hint("merge"), "doc_id").select("text", "y").mapInArrow(count, "k int, c0 long, c1 long").groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
+    # labels grow with the documents, so the join is a sort-merge join at every size; some tasks for each
+    # core take its partitions one after another, so that what they send does not grow with the documents
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.join(known.hint("merge"), "doc_id").select("text", "y").coalesce(tasks).mapInArrow(count, "k int, c0 long, c1 long").groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
     counts = np.zeros((2, size + 1), np.int64)
     for y in (0, 1):
         counts[y, rows["k"].to_numpy()] = rows[f"c{y}"].to_numpy()
@@ -167,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
         return np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share)))
     ratio = log_ratios(n, counts)
     live = ratio != 0  # the others add nothing to any score
+    first = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    few = first[0].unionByName(first[1]).withColumn("k", F.row_number().over(order))
 
     @tidy
     def present(batches):
