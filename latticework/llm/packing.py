@@ -60,7 +60,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "k", "ids"]
             m = 8 if with_ids else 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:m], kinds, strict=False)], names=names[:m])
-        enc.forget()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return read.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))

@@ -174,7 +174,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                     seg, start, held, ids, nulls, got = seg + 1, start + held, 0, [], [], []
         if ids:
             yield image()
-        enc.forget()
 
     order = ["doc_id", "th", "at"]
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("at"), text_or_empty().alias("text"))

@@ -3,11 +3,11 @@
 A byte-level BPE merges only inside the pieces that its pre-tokenizer cuts, and it always cuts before
 a blank or a newline that stands between two other characters. So Arrow splits the texts there into
 words with the blank before them and numbers the distinct ones; only those are looked up or encoded,
-and the ids of all words are gathered by number. The words that a worker has not met go to the library
-as one text; the ids of each are found again by the number of bytes that every id stands for. ASCII
-words of letters, with punctuation after them, go to the same model with the pre-tokenizer's cuts already
-made. Texts with other white space at a cut, or with the text of a special token, go to the library
-whole.
+and the ids of all words are gathered by number. The look-up is by two 64-bit hashes, in arrays: a word
+takes some forty bytes, and no Python object. The words that a worker has not met go to the library as
+one text; the ids of each are found again by the number of bytes that every id stands for. ASCII words of
+letters, with punctuation after them, go to the same model with the pre-tokenizer's cuts already made.
+Texts with other white space at a cut, or with the text of a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -39,15 +39,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Known:
+    """Ids of words by hash: sorted first hashes, second hashes, and where in ``ids`` a word's are."""
+
+    def __init__(self) -> None:
+        self.first = self.second = np.empty(0, np.uint64)
+        self.span, self.ids = np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For sorted first hashes the place of each word, -1 where it is not known."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def add(self, first: np.ndarray, second: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words with sorted first hashes, and the ids of all one after another."""
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.first, first)
+        self.first, self.second = np.insert(self.first, at, first), np.insert(self.second, at, second)
+        self.span, self.ids = np.insert(self.span, at, starts << SIZE_BITS | sizes), np.concatenate([self.ids, ids])
+
+
+SIZE_BITS = 8
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places start .. start + size - 1, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Bytes of little-endian unsigned 32-bit ids; the look-up holds ``limit`` words at most.
 
     The look-up has two generations: when the young one is full it becomes the old one, and words of
-    the old one that are met again move back, so the words in use stay. A word is up to ``longest``
-    characters, so the look-up is bounded in bytes too (about 200 a word at most).
+    the old one that are met again move back, so the words in use stay. Words of more than ``longest``
+    bytes are not held, so the look-up is bounded in bytes too.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 40, at_once: int = 8_000):
+    def __init__(self, path: str, limit: int = 1_200_000, longest: int = 63, at_once: int = 8_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -57,31 +88,33 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():  # in a byte-level vocabulary each byte is one character
             self.n_bytes[k] = len(token)
-        self.first = {"\0": self.whole("\n")}
+        self.newline = self.whole("\n")
+        # odd multipliers for each place of a byte in its word: words that differ in one byte never agree
+        self.weights = np.random.default_rng(20_011).integers(0, 1 << 63, (2, longest + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.forget()
 
     def forget(self) -> None:
-        """Empties the look-up: at the end of a task, since the worker goes on with other tasks."""
-        self.young, self.old = dict(self.first), {}
+        """Empties the look-up."""
+        self.young, self.old = Known(), Known()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _apart(self, raw: bytes, lengths: list[int]) -> list[bytes]:
-        """The ids of words that have so many bytes each."""
-        ends, at = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")]), np.cumsum(lengths)
+    def _apart(self, raw: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and how many each of the words has, which have so many bytes each."""
+        ids = np.frombuffer(raw, "<u4")
+        ends, at = np.cumsum(self.n_bytes[ids]), np.cumsum(lengths)
         cut = np.searchsorted(ends, at)
         if not np.array_equal(ends[cut], at):
             raise ValueError("the tokenizer does not cut before white space")
-        cut = [0, *((cut + 1) * 4).tolist()]
-        return [raw[a:z] for a, z in zip(cut, cut[1:])]
+        return ids, np.diff(cut, prepend=-1)
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, from one text of all."""
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, from one text, and how many each has."""
         parts = ["\n" + w[1:] if w[0] == "\0" else " " + w for w in words]
         return self._apart(self.whole("".join(parts)), [len(p.encode()) for p in parts])
 
-    def _plain(self, words: list[str]) -> list[bytes]:
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that ``_PLAIN`` matches."""
         text = (_BLANK + f" {_BLANK}".join(words)).replace(_BLANK + "\0", _NEWLINE + " ")
         self.tokenizer.pre_tokenizer = self.at_blanks  # the text is cut already, and in the byte-level alphabet
@@ -91,26 +124,84 @@ class Encoder:
             self.tokenizer.pre_tokenizer = self.usual
         return self._apart(raw, [len(w) + (w[0] != "\0") for w in words])
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """What is not a word has no entry."""
-        got, plain, new = {}, [], []
-        for w in words:
-            if w in self.old:
-                got[w] = self.old[w]
-            elif _PLAIN.fullmatch(w):
-                plain.append(w)
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words are words, how many ids each of them has, and the ids of all of them."""
+        plain, new = [], []
+        for i, w in enumerate(words):
+            if _PLAIN.fullmatch(w):
+                plain.append(i)
             elif _WORD.fullmatch(w) and _SPECIAL not in w:
-                new.append(w)
-        for words, encode in ((plain, self._plain), (new, self._new)):
-            for at in range(0, len(words), self.at_once):
-                some = words[at : at + self.at_once]
-                got.update(zip(some, encode(some), strict=True))
-        if len(self.young) + len(got) > self.limit // 2:
-            self.old, self.young = self.young, dict(self.first)
-        for w, ids in got.items():
-            if len(w) <= self.longest and len(self.young) < self.limit // 2:
-                self.young[w] = ids
-        return got
+                new.append(i)
+        which, sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        for own, encode in ((plain, self._plain), (new, self._new)):
+            for at in range(0, len(own), self.at_once):
+                some = own[at : at + self.at_once]
+                got, n = encode([words[i] for i in some])
+                which.append(np.asarray(some))
+                sizes.append(n)
+                ids.append(got)
+        return np.concatenate(which), np.concatenate(sizes), np.concatenate(ids)
+
+    def _hashes(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each word, and its length in bytes."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        lengths, total = np.diff(offsets), int(offsets[-1] - offsets[0])
+        values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1) if total else np.empty(0, np.uint64)
+        place = np.minimum(np.arange(total) - np.repeat(offsets[:-1] - offsets[0], lengths), self.longest)
+        out, full = np.zeros((2, len(words)), np.uint64), lengths > 0
+        if total:
+            for k in (0, 1):
+                out[k, full] = np.add.reduceat(values * self.weights[k][place], (offsets[:-1] - offsets[0])[full])
+        return out[0], out[1], lengths
+
+    def _ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: where the ids of each start, how many they are (-1: not a word), and the ids."""
+        first, second, lengths = self._hashes(words)
+        order = np.argsort(first)
+        first, second, short = first[order], second[order], lengths[order] <= self.longest
+        young = np.where(short, self.young.find(first, second), -1)
+        old = np.where(short & (young < 0), self.old.find(first, second), -1)
+        miss = np.flatnonzero((young < 0) & (old < 0))
+        sizes, starts, flat, used = np.full(len(words), -1), np.zeros(len(words), np.int64), [], 0
+
+        def put(rows: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal used
+            sizes[order[rows]], starts[order[rows]] = n, used + np.cumsum(n) - n
+            flat.append(ids)
+            used += len(ids)
+
+        back = None
+        for known, at in ((self.young, young), (self.old, old)):
+            rows = np.flatnonzero(at >= 0)
+            if len(rows):
+                span = known.span[at[rows]]
+                n = span & ((1 << SIZE_BITS) - 1)
+                ids = known.ids[spread(span >> SIZE_BITS, n)]
+                put(rows, n, ids)
+                back = (rows, n, ids) if known is self.old else None
+        learnt = None
+        if len(miss):
+            # faster than value by value; no word has a blank
+            taken = words.take(pa.array(order[miss]))
+            names = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(taken)], pa.int64()), taken), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+            which, n, ids = self._learn(names)
+            put(miss[which], n, ids)
+            learnt = (miss[which], n, ids)
+        for part in (back, learnt):
+            if part is not None:
+                self._keep(*part, first, second, short)
+        return starts, sizes, np.concatenate([*flat, np.empty(0, "<u4")])
+
+    def _keep(self, rows: np.ndarray, n: np.ndarray, ids: np.ndarray, first: np.ndarray, second: np.ndarray, short: np.ndarray) -> None:
+        order = np.argsort(rows)
+        begin = (np.cumsum(n) - n)[order]
+        rows, n = rows[order], n[order]
+        fit = short[rows]
+        rows, n, begin = rows[fit][: self.limit // 2], n[fit][: self.limit // 2], begin[fit][: self.limit // 2]
+        if len(self.young.first) + len(rows) > self.limit // 2:
+            self.old, self.young = self.young, Known()
+        self.young.add(first[rows], second[rows], n, ids[spread(begin, n)])
 
     def many(self, texts: pa.Array | list[str], step: int = 4_000_000) -> list[bytes]:
         """The ids of each text, as many texts at a time as have ``step`` bytes, and one at least."""
@@ -133,19 +224,15 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(begun, "\n", " \0"), " ")
         coded = split.values.dictionary_encode()
         code = coded.indices.to_numpy()
-        one = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-        words = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # faster than value by value; no word has a blank
-        ids = list(map(self.young.get, words))
-        new = [w for w, x in zip(words, ids, strict=True) if x is None]
-        if new:
-            learnt = self._learn(new)
-            ids = [learnt.get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
-        unknown = np.asarray([x is None for x in ids])
-        sizes = np.asarray([len(x) // 4 if x else 0 for x in ids])
-        flat, starts = np.frombuffer(b"".join(x for x in ids if x), "<u4"), np.cumsum(sizes) - sizes
-        length = sizes[code]
+        starts, sizes, flat = self._ids(coded.dictionary)
+        alone = np.flatnonzero(np.asarray(pc.equal(coded.dictionary, "\0")))  # a newline with no word behind it
+        if len(alone):
+            own = np.frombuffer(self.newline, "<u4")
+            starts[alone], sizes[alone], flat = len(flat), len(own), np.concatenate([flat, own])
+        unknown = sizes < 0
+        length = np.maximum(sizes, 0)[code]
         ends = np.concatenate([[0], np.cumsum(length)])
-        raw = memoryview(flat[np.repeat(starts[code] - ends[:-1], length) + np.arange(ends[-1])]).cast("B") if ends[-1] else b""
+        raw = memoryview(flat[spread(starts[code], length)]).cast("B") if ends[-1] else b""
         # the first part of each text is empty: what stands before its first newline
         offsets = split.offsets.to_numpy()
         first, last = offsets[:-1] + 1, offsets[1:]
