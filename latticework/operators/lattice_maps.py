@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.lattice import NEIGHBOURS, squared_distance
 from ..functions.numerics import spline_at, spline_coefficients
 
+#: Most nodes of a lattice whose map comes to the driver.
+MAX_NODES = 1_000_000
+
 
 def neighbours(lattice: DataFrame) -> DataFrame:
     """Each node with each of its up to eight neighbours, ``ord`` in the order in which ties are won."""
@@ -43,12 +46,45 @@ def descent(umat: DataFrame) -> DataFrame:
 
 
 def centroids(umat: DataFrame) -> DataFrame:
-    """``x, y, cx, cy``: the local minimum that steepest descent ends in, by pointer jumping."""
-    now = descent(umat).toDF("x", "y", "cx", "cy")
-    for _ in range(max(1, math.ceil(math.log2(max(2, umat.count()))))):
-        hop = now.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("cx").alias("tx"), F.col("cy").alias("ty"))
-        now = now.join(F.broadcast(hop), ["cx", "cy"]).select("x", "y", F.col("tx").alias("cx"), F.col("ty").alias("cy"))
-    return now
+    """``x, y, cx, cy``: the local minimum that steepest descent ends in.
+
+    A lattice is small (its size is checked), so the pointers of all nodes are followed on the driver.
+    """
+    n = umat.count()
+    if n > MAX_NODES:
+        raise ValueError("the lattice is too large")
+    to = {(r.x, r.y): (r.nx, r.ny) for r in descent(umat).collect()}
+    for at in to:
+        path = [at]
+        while to[path[-1]] != path[-1]:
+            path.append(to[path[-1]])
+        to.update(dict.fromkeys(path, path[-1]))
+    return umat.sparkSession.createDataFrame([(*k, *v) for k, v in sorted(to.items())], "x int, y int, cx int, cy int")
+
+
+def assign_clusters(lattice: DataFrame, smoothing: float = 0.0, merge_cost: float = 0.0) -> DataFrame:
+    """``x, y, cluster_id`` of a trained lattice: U-matrix, smoothed if asked for, descent, merging, ids."""
+    umat = smooth(umatrix(lattice), smoothing)
+    umat = umat.sparkSession.createDataFrame([(r.x, r.y, r.heat) for r in umat.collect()], "x int, y int, heat double")
+    cents = centroids(umat)
+    return lattice_clusters(merge_centroids(umat, cents, merge_cost) if merge_cost > 0 else cents)
+
+
+def combine_clusters(umat: DataFrame, cents: DataFrame, within_range: float = 0.15) -> DataFrame:
+    """``x, y, cx, cy`` after the older merge: pairs that may combine are joined until none is left.
+
+    Of a pair the centroid with fewer nodes is replaced, of equal ones the later by coordinates.
+    """
+    cents = cents.sparkSession.createDataFrame([tuple(r) for r in cents.select("x", "y", "cx", "cy").collect()], "x int, y int, cx int, cy int")
+    while True:
+        pairs = combinable(cluster_spread(umat, cents), between_clusters(umat, cents), within_range).where("combine").orderBy("cx", "cy", "ox", "oy").limit(1).collect()
+        if not pairs:
+            return cents
+        size = {(r.cx, r.cy): r.nodes for r in unique_centroids(cents).collect()}
+        a, b = (pairs[0].cx, pairs[0].cy), (pairs[0].ox, pairs[0].oy)
+        old, new = (a, b) if size[a] < size[b] else (b, a)
+        rows = [(r.x, r.y, *(new if (r.cx, r.cy) == old else (r.cx, r.cy))) for r in cents.collect()]
+        cents = cents.sparkSession.createDataFrame(rows, "x int, y int, cx int, cy int")
 
 
 def unique_centroids(cents: DataFrame) -> DataFrame:

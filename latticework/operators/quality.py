@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numerics import f_quantile, ks_pvalue, t_quantile
+from ..sources.scratch import running
 
 
 def long_form(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -44,9 +47,11 @@ def ks_statistic(data: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFram
     """``feature, d``: largest distance of the two distribution functions."""
     both = long_form(data, cols).withColumn("s", F.lit(1)).unionByName(long_form(nodes, cols).withColumn("s", F.lit(0)))
     steps = both.groupBy("feature", "v").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
-    w, whole = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    d = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return steps.select("feature", d.alias("d")).groupBy("feature").agg(F.max("d").alias("d"))
+    # sums up to each value by ranges of (feature, value), less those of the features before
+    at = running(steps, ["feature", "v"], ["a", "b"])
+    whole = at.groupBy("feature").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("before_a").alias("fa"), F.min("before_b").alias("fb"))
+    d = F.abs((F.col("before_a") + F.col("a") - F.col("fa")) / F.col("ta") - (F.col("before_b") + F.col("b") - F.col("fb")) / F.col("tb"))
+    return at.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max(d).alias("d"))
 
 
 def embedding_accuracy_ks(data: DataFrame, nodes: DataFrame, cols: list[str], conf: float = 0.95) -> float:
@@ -60,11 +65,22 @@ def convergence(embed: float, topo: float) -> float:
 
 
 def bootstrap_interval(hits: DataFrame, value: str, resamples: int = 200, conf: float = 0.95, seed: int = 7) -> tuple[float, float]:
-    """Percentile interval of a mean by Poisson resampling: one pass, one row per resample."""
-    draws = hits.select(value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"), F.monotonically_increasing_id().alias("i"))
-    u = (F.pmod(F.xxhash64("i", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    times = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317)), F.lit(0))
-    means = sorted(r[1] for r in draws.select("r", value, times.alias("t")).groupBy("r").agg(F.sum(F.col(value) * F.col("t")) / F.sum("t")).collect() if r[1] is not None)
+    """Percentile interval of a mean by Poisson resampling: one pass, a sum per task and resample."""
+
+    def draw(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        n, total = np.zeros(resamples, np.int64), np.zeros(resamples)
+        for pdf in batches:
+            x = pdf["v"].to_numpy(float)
+            for at in range(0, len(x), 10_000):
+                times = rng.poisson(1.0, (len(x[at : at + 10_000]), resamples))
+                n, total = n + times.sum(0), total + x[at : at + 10_000] @ times
+        yield pd.DataFrame({"r": np.arange(resamples), "n": n, "s": total})
+
+    sums = hits.select(F.col(value).cast("double").alias("v")).where("v is not null").mapInPandas(draw, "r int, n long, s double").groupBy("r").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    means = sorted(r.s / r.n for r in sums.collect() if r.n)
     tail = (1 - conf) / 2
     return means[int(tail * len(means))], means[min(len(means) - 1, int((1 - tail) * len(means)))]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import running
+
 
 def two_sigma(df: DataFrame, cols: list[str], bulk_range: float = 1.0) -> DataFrame:
     """(x - mean) / (2 population deviations) * bulk_range; a constant column gives 0."""
@@ -32,15 +34,8 @@ def by_row_sum(df: DataFrame, cols: list[str]) -> DataFrame:
 def chunks(df: DataFrame, order: str, batches: int) -> DataFrame:
     """Adds ``chunk``: contiguous chunks of equal size in id order; the rows left over go.
 
-    Ranks come from counts per range partition, not from one sorted task.
+    Ranks come from counts per range partition of rows that are written once, not from one sorted task.
     """
-    n = df.count()
-    size = n // batches
-    keyed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    offsets, total = {}, 0
-    for p, c in sorted((r[0], r[1]) for r in keyed.groupBy(part.alias("p")).count().collect()):  # one row per partition
-        offsets[p], total = total, total + c
-    start = F.coalesce(*[F.when(part == p, F.lit(o)) for p, o in offsets.items()], F.lit(0)) if offsets else F.lit(0)
-    rank = start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return keyed.withColumn("chunk", F.floor(rank / max(1, size)).cast("int")).where(F.col("chunk") < batches).drop("_id")
+    ranked = running(df.withColumn("_one", F.lit(1).cast("long")), [order], ["_one"])
+    size = df.count() // batches
+    return ranked.withColumn("chunk", F.floor(F.col("before__one") / max(1, size)).cast("int")).where(F.col("chunk") < batches).drop("_one", "before__one")

@@ -10,31 +10,42 @@ from pyspark.sql import functions as F
 from ..functions import lattice as L
 from ..operators import bmu, ensemble, grid, lattice_maps, quality, scaling, train
 from ..sources import io
+from ..sources.scratch import shared_path
 from ..streaming import score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 X, Y = 6, 5
 
-LAT = """lat AS (SELECT CAST(vec_id AS INTEGER) AS node, CAST(vec_id % 6 AS INTEGER) AS x, CAST(vec_id // 6 AS INTEGER) AS y,
- [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS w FROM embeddings WHERE vec_id < 30)"""
-PTS = """pts AS (SELECT vec_id AS point_id, label, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS f FROM embeddings)"""
+DIM = 64
+PTS = "pts AS MATERIALIZED (SELECT vec_id AS point_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings)"
+START = "st AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY md5('7-' || point_id), point_id) - 1 AS INTEGER) AS node, f AS w FROM pts QUALIFY node < 30)"
 
 
-def _d2(a: str, b: str) -> str:
-    return "(" + " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, 5)) + ")"
+def _d2(a: str, b: str, n: int = DIM) -> str:
+    return "(" + " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, n + 1)) + ")"
 
 
+def _epoch(src: str, out: str, n: int) -> str:
+    h = f"CASE WHEN greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6)) <= {n} THEN exp(-(greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6)) * greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6))) / (2 * ({n} / 3.0) * ({n} / 3.0))) ELSE 0.0 END"
+    return f"""{out}_m AS (SELECT point_id, f, node AS c FROM (SELECT point_id, f, node, row_number() OVER (PARTITION BY point_id ORDER BY {_d2('f', 'w')}, node) AS k FROM pts, {src}) WHERE k = 1),
+{out}_s AS (SELECT c, count(*) AS n, {', '.join(f'sum(f[{i}]) AS s{i}' for i in range(1, DIM + 1))} FROM {out}_m GROUP BY 1),
+{out}_h AS (SELECT a.node, sum(({h}) * n) AS den, {', '.join(f'sum(({h}) * s{i}) AS t{i}' for i in range(1, DIM + 1))} FROM {src} a, {out}_s s GROUP BY 1),
+{out} AS (SELECT a.node, CASE WHEN den > 0 THEN [{', '.join(f't{i} / den' for i in range(1, DIM + 1))}] ELSE a.w END AS w FROM {src} a JOIN {out}_h h ON a.node = h.node)"""
+
+
+#: The lattice of most queries: trained on all points with all components, by two epochs.
+LAT = f"{PTS}, {START}, {_epoch('st', 'e1', 4)}, {_epoch('e1', 'e2', 2)}, lat AS MATERIALIZED (SELECT node, CAST(node % 6 AS INTEGER) AS x, CAST(node // 6 AS INTEGER) AS y, w FROM e2)"
 BMU = f"""pd AS (SELECT point_id, label, f, node, {_d2('f', 'w')} AS d2 FROM pts, lat),
 rk AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, node) AS k FROM pd), bm AS (SELECT point_id, label, f, node, d2, node % 6 AS x, node // 6 AS y FROM rk WHERE k = 1)"""
-NB = f"""nb AS (SELECT a.x, a.y, avg(sqrt({_d2('a.w', 'b.w')})) AS raw FROM lat a JOIN lat b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node GROUP BY 1, 2), um AS (SELECT x, y, raw / 30 AS heat FROM nb)"""
+NB = f"""nb AS (SELECT a.x, a.y, avg(sqrt({_d2('a.w', 'b.w')})) AS raw FROM lat a JOIN lat b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.node <> b.node GROUP BY 1, 2), um AS MATERIALIZED (SELECT x, y, raw / 30 AS heat FROM nb)"""
 ORD = """off(ord, dx, dy) AS (VALUES (0, -1, -1), (1, 0, -1), (2, 1, -1), (3, 1, 0), (4, 1, 1), (5, 0, 1), (6, -1, 1), (7, -1, 0))"""
 DESC = f"""{ORD}, cand AS (SELECT a.x, a.y, b.x AS nx, b.y AS ny, row_number() OVER (PARTITION BY a.x, a.y ORDER BY b.heat, o.ord) AS k FROM um a, off o JOIN um b ON b.x = a.x + o.dx AND b.y = a.y + o.dy WHERE b.heat < a.heat),
 de AS (SELECT u.x, u.y, coalesce(c.nx, u.x) AS nx, coalesce(c.ny, u.y) AS ny FROM um u LEFT JOIN cand c ON c.x = u.x AND c.y = u.y AND c.k = 1)"""
 CENT = f"""{DESC}, walk(x, y, cx, cy, n) AS (SELECT x, y, nx, ny, 0 FROM de UNION ALL SELECT w.x, w.y, d.nx, d.ny, n + 1 FROM walk w JOIN de d ON d.x = w.cx AND d.y = w.cy WHERE n < 30),
 ce AS (SELECT x, y, cx, cy FROM walk WHERE n = 30)"""
 CLUS = "cl AS (SELECT x, y, CAST(dense_rank() OVER (ORDER BY cx, cy) - 1 AS INTEGER) AS cluster_id FROM ce)"
-LATQ = f"WITH RECURSIVE {LAT}, {PTS}, {BMU}, {NB}, {CENT}, {CLUS}"
+LATQ = f"WITH RECURSIVE {LAT}, {BMU}, {NB}, {CENT}, {CLUS}"
 
 ENS = """runs AS (SELECT 'priority' AS run_id, o_orderkey AS point_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS cluster_id FROM orders
  UNION ALL SELECT 'status', o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END FROM orders
@@ -67,12 +78,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.slice("embedding", 1, 4).cast("array<double>").alias("f"), "label")
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("f"), "label")
+
+
+_TRAINED: dict[tuple[str, str], list] = {}
 
 
 def lat(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = pts(spark, sf).where("point_id < 30")
-    return nodes.select(F.col("point_id").cast("int").alias("node"), L.node_x(F.col("point_id"), X).alias("x"), L.node_y(F.col("point_id"), X).alias("y"), F.col("f").alias("w"))
+    """The lattice of LAT; 30 rows, trained once for each session and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _TRAINED:
+        _TRAINED[at] = [(r.node, r.x, r.y, list(r.w)) for r in train.train_batch(pts(spark, sf), X, Y, [4, 2]).collect()]
+    return spark.createDataFrame(_TRAINED[at], "node int, x int, y int, w array<double>")
 
 
 def umat(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +190,7 @@ def training_schedule(spark, sf):
     return spark.range(400).select(F.col("id").alias("step"), L.nsize_at(F.col("id"), p, 400).alias("nsize"), F.round(L.alpha_at(F.col("id"), p), 6).alias("alpha"))
 
 
-@register("WITH r AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) SELECT CAST(k AS INTEGER) AS node, round(CAST(embedding[1] AS DOUBLE), 6) AS w1 FROM r WHERE k < 30")
+@register(f"WITH {PTS}, {START} SELECT node, round(w[1], 6) AS w1 FROM st")
 def init_lattice_sampled(spark, sf):
     return train.sampled_lattice(pts(spark, sf), X, Y).select("node", F.round(F.get("w", F.lit(0)), 6).alias("w1"))
 
@@ -186,17 +203,17 @@ def training_chunks(spark, sf):
 # -- best matches
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT point_id, node, round(d2, 6) AS d2 FROM bm")
+@register(f"WITH {LAT}, {BMU} SELECT point_id, node, round(d2, 6) AS d2 FROM bm")
 def bmu_kernel(spark, sf):
     return r6(bmu.best_matches(pts(spark, sf), lat(spark, sf)).drop("rank"), "d2")
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT point_id, node, round(d2, 6) AS d2 FROM bm")
+@register(f"WITH {LAT}, {BMU} SELECT point_id, node, round(d2, 6) AS d2 FROM bm")
 def bmu_join(spark, sf):
     return r6(bmu.best_match_sql(pts(spark, sf), lat(spark, sf)), "d2")
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT point_id, CAST(k AS INTEGER) AS rank, node, round(d2, 6) AS d2 FROM rk WHERE k <= 2")
+@register(f"WITH {LAT}, {BMU} SELECT point_id, CAST(k AS INTEGER) AS rank, node, round(d2, 6) AS d2 FROM rk WHERE k <= 2")
 def bmu_top2(spark, sf):
     return r6(bmu.best_matches(pts(spark, sf), lat(spark, sf), 2), "d2")
 
@@ -213,52 +230,42 @@ def bmu_lineitem_histogram(spark, sf):
     return bmu.best_matches(p, nodes).groupBy("node").agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT round(avg(sqrt(d2)), 6) AS quantization_error, count(*) AS n_points FROM bm")
+@register(f"WITH {LAT}, {BMU} SELECT round(avg(sqrt(d2)), 6) AS quantization_error, count(*) AS n_points FROM bm")
 def quantization_error(spark, sf):
     return r6(bmu.quantization_error(bmu.project(pts(spark, sf), lat(spark, sf), X)), "quantization_error")
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU}, two AS (SELECT point_id, max(CASE WHEN k = 1 THEN node END) AS a, max(CASE WHEN k = 2 THEN node END) AS b FROM rk WHERE k <= 2 GROUP BY 1) SELECT round(avg(CASE WHEN sqrt((a % 6 - b % 6) * (a % 6 - b % 6) + (a // 6 - b // 6) * (a // 6 - b // 6)) < 2 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_points FROM two")
+@register(f"WITH {LAT}, {BMU}, two AS (SELECT point_id, max(CASE WHEN k = 1 THEN node END) AS a, max(CASE WHEN k = 2 THEN node END) AS b FROM rk WHERE k <= 2 GROUP BY 1) SELECT round(avg(CASE WHEN sqrt((a % 6 - b % 6) * (a % 6 - b % 6) + (a // 6 - b // 6) * (a // 6 - b // 6)) < 2 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_points FROM two")
 def topographic_accuracy(spark, sf):
     return r6(bmu.topographic_accuracy(pts(spark, sf), lat(spark, sf), X), "accuracy")
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT point_id, node, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(d2, 6) AS d2, label FROM bm")
+@register(f"WITH {LAT}, {BMU} SELECT point_id, node, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(d2, 6) AS d2, label FROM bm")
 def project_points(spark, sf):
-    p = pts(spark, sf)
-    return r6(bmu.project(p, lat(spark, sf), X).join(p.select("point_id", "label"), "point_id"), "d2")
+    return r6(bmu.project(pts(spark, sf), lat(spark, sf), X, ["label"]), "d2")
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, arg_min(label, point_id) AS first_label FROM bm GROUP BY 1, 2")
+@register(f"WITH {LAT}, {BMU} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, arg_min(label, point_id) AS first_label FROM bm GROUP BY 1, 2")
 def cell_histogram(spark, sf):
-    p = pts(spark, sf)
-    return bmu.cell_histogram(bmu.project(p, lat(spark, sf), X), p)
+    return bmu.cell_histogram(bmu.project(pts(spark, sf), lat(spark, sf), X, ["label"]))
 
 
 # -- training
 
 
-def _epoch(src: str, out: str, n: int) -> str:
-    h = f"CASE WHEN greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6)) <= {n} THEN exp(-(greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6)) * greatest(abs(a.node % 6 - s.c % 6), abs(a.node // 6 - s.c // 6))) / (2 * ({n} / 3.0) * ({n} / 3.0))) ELSE 0.0 END"
-    return f"""{out}_m AS (SELECT point_id, f, node AS c FROM (SELECT point_id, f, node, row_number() OVER (PARTITION BY point_id ORDER BY {_d2('f', 'w')}, node) AS k FROM pts, {src}) WHERE k = 1),
-{out}_s AS (SELECT c, count(*) AS n, {', '.join(f'sum(f[{i}]) AS s{i}' for i in range(1, 5))} FROM {out}_m GROUP BY 1),
-{out}_h AS (SELECT a.node, sum(({h}) * n) AS den, {', '.join(f'sum(({h}) * s{i}) AS t{i}' for i in range(1, 5))} FROM {src} a, {out}_s s GROUP BY 1),
-{out} AS (SELECT a.node, CASE WHEN den > 0 THEN [{', '.join(f't{i} / den' for i in range(1, 5))}] ELSE a.w END AS w FROM {src} a JOIN {out}_h h ON a.node = h.node)"""
-
-
-_OUT = ", ".join(f"round(w[{i}], 6) AS w{i}" for i in range(1, 5))
+_OUT = ", ".join(f"round(w[{i}], 6) AS w{i}" for i in range(1, DIM + 1))
 
 
 def _weights(df: DataFrame) -> DataFrame:
-    return df.select("node", *[F.round(F.get("w", F.lit(i)), 6).alias(f"w{i + 1}") for i in range(4)])
+    return df.select("node", *[F.round(F.get("w", F.lit(i)), 6).alias(f"w{i + 1}") for i in range(DIM)])
 
 
-@register(f"WITH {LAT}, {PTS}, {_epoch('lat', 'e1', 4)} SELECT node, {_OUT} FROM e1")
+@register(f"WITH {PTS}, {START}, {_epoch('st', 'e1', 4)} SELECT node, {_OUT} FROM e1")
 def som_batch_epoch_1(spark, sf):
     return _weights(train.train_batch(pts(spark, sf), X, Y, [4]))
 
 
-@register(f"WITH {LAT}, {PTS}, {_epoch('lat', 'e1', 4)}, {_epoch('e1', 'e2', 2)} SELECT node, {_OUT} FROM e2")
+@register(f"WITH {PTS}, {START}, {_epoch('st', 'e1', 4)}, {_epoch('e1', 'e2', 2)} SELECT node, {_OUT} FROM e2")
 def som_batch_epoch_2(spark, sf):
     return _weights(train.train_batch(pts(spark, sf), X, Y, [4, 2]))
 
@@ -270,6 +277,33 @@ def som_online_train(spark, sf):
     return train.sweep(p, {"online": L.SomParams(X, Y, 0.5, 2000)})
 
 
+_D2L = "list_transform(w, lambda q: (q[1] - f[1]) * (q[1] - f[1]) + (q[2] - f[2]) * (q[2] - f[2]))"
+_NEAR = "greatest(abs((i - 1) % 6 - c % 6), abs((i - 1) // 6 - c // 6))"
+
+
+@register(f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS s, [(p_size - (SELECT avg(p_size) FROM part)) / (2 * (SELECT stddev_pop(p_size) FROM part)), (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (2 * (SELECT stddev_pop(p_retailprice) FROM part))] AS f FROM part),
+st(s, w) AS (SELECT CAST(0 AS BIGINT), list_transform(range(30), lambda i: [(i % 6) / 5.0 - 0.5, (i // 6) / 4.0 - 0.5]) UNION ALL
+ SELECT s + 1, list_transform(range(1, 31), lambda i: [w[i][1] - CASE WHEN {_NEAR} <= 7 THEN 0.5 * exp(-({_NEAR} * {_NEAR}) / (2 * (7 / 3.0) * (7 / 3.0))) ELSE 0 END * (w[i][1] - f[1]), w[i][2] - CASE WHEN {_NEAR} <= 7 THEN 0.5 * exp(-({_NEAR} * {_NEAR}) / (2 * (7 / 3.0) * (7 / 3.0))) ELSE 0 END * (w[i][2] - f[2])])
+ FROM (SELECT st.s, st.w, d.f, list_position({_D2L}, list_min({_D2L})) - 1 AS c FROM st JOIN d ON d.s = st.s WHERE st.s < 150))
+SELECT CAST(i AS INTEGER) AS node, round(w[i + 1][1], 6) AS w1, round(w[i + 1][2], 6) AS w2 FROM (SELECT w, unnest(range(30)) AS i FROM st WHERE s = 150)""")
+def som_online_ordered(spark, sf):
+    """150 steps over the rows in id order from a given lattice: the step by step trainer, restarted once."""
+    p = scaling.two_sigma(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    p = p.select(F.col("p_partkey").alias("point_id"), F.array("p_size", "p_retailprice").alias("f"))
+    start = spark.range(30).select(F.lit(0).cast("long").alias("epoch"), F.lit(0.5).alias("alpha"), F.col("id").cast("int").alias("node"), F.array((F.col("id") % 6) / 5.0 - 0.5, F.floor(F.col("id") / 6) / 4.0 - 0.5).alias("w"))
+    out = train.train_lattice(p, L.SomParams(X, Y, 0.5, 150, "static"), restart=start, shuffled=False)
+    return train.last_lattice(out).select("node", *[F.round(F.get("w", F.lit(i)), 6).alias(f"w{i + 1}") for i in (0, 1)])
+
+
+@register()
+def som_snapshots(spark, sf):
+    """The lattice after every 500 of 2000 steps, written by step and read back."""
+    out = train.train_lattice(pts(spark, sf), L.SomParams(X, Y, 0.3, 2000), snapshot_every=500)
+    path = shared_path(spark, "snapshots")
+    io.write_snapshots(out, path)
+    return spark.read.parquet(path)
+
+
 @register()
 def som_sweep(spark, sf):
     params = {f"{a}-{t}-{x}": L.SomParams(x, 5, a, t) for a in (0.1, 0.5) for t in (500, 1000) for x in (5, 6)}
@@ -324,6 +358,26 @@ def label_points(spark, sf):
     return bmu.label_points(bmu.project(pts(spark, sf), lat(spark, sf), X), lattice_maps.lattice_clusters(cents(spark, sf)))
 
 
+_SMOOTH = f"{LAT}, {NB.replace('um AS', 'u0 AS')}, um AS MATERIALIZED (SELECT a.x, a.y, sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.64) * b.heat) / sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.64)) AS heat FROM u0 a, u0 b GROUP BY 1, 2)"
+
+
+@register(f"WITH RECURSIVE {_SMOOTH}, {CENT}, {CLUS} SELECT x, y, cluster_id FROM cl")
+def assign_clusters_smoothed(spark, sf):
+    """From the trained lattice to clusters in one call, with a smoothed U-matrix."""
+    return lattice_maps.assign_clusters(lat(spark, sf), 0.8)
+
+
+@register()
+def assign_clusters_merged(spark, sf):
+    """The same with centroids merged at a relative cost below 0.2; the spline has no counterpart in SQL."""
+    return lattice_maps.assign_clusters(lat(spark, sf), 0.8, 0.2)
+
+
+@register()
+def combine_clusters(spark, sf):
+    return lattice_maps.combine_clusters(umat(spark, sf), cents(spark, sf))
+
+
 @register()
 def merge_centroids(spark, sf):
     return lattice_maps.merge_centroids(umat(spark, sf), cents(spark, sf), 0.3)
@@ -411,10 +465,36 @@ def sce_classes(spark, sf):
     return ensemble.classes(ensemble.signal(r, ensemble.gsum(r)), [4.0, 6.0]).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@register()
+def _fits(n: int, window: int, order: int, deriv: int) -> str:
+    """Rows (out, inp, c): each smoothed value as a sum over its window, from least squares by normal equations."""
+    half, rows = window // 2, []
+    for i in range(n):
+        first = min(max(i - (half if window % 2 else half - 1), 0), n - window)
+        inner = half <= i < n - half
+        at = (window - 1) / 2 if inner else i - first  # an even window is centred between samples
+        x = [[float(t - at) ** p for p in range(order + 1)] for t in range(window)]
+        gram = [[sum(r[p] * r[q] for r in x) for q in range(order + 1)] for p in range(order + 1)]
+        unit = [float(p == deriv) for p in range(order + 1)]
+        for p in range(order + 1):  # Gauss-Jordan with the largest pivot
+            best = max(range(p, order + 1), key=lambda q: abs(gram[q][p]))
+            gram[p], gram[best], unit[p], unit[best] = gram[best], gram[p], unit[best], unit[p]
+            for q in range(order + 1):
+                if q != p:
+                    f = gram[q][p] / gram[p][p]
+                    gram[q], unit[q] = [a - f * b for a, b in zip(gram[q], gram[p], strict=True)], unit[q] - f * unit[p]
+        weights = [unit[p] / gram[p][p] for p in range(order + 1)]
+        rows += [f"({i}, {first + t}, CAST({sum(w * v for w, v in zip(weights, x[t], strict=True))!r} AS DOUBLE))" for t in range(window)]
+    return ", ".join(rows)
+
+
+@register(f"""WITH r AS (SELECT CAST(row_number() OVER (ORDER BY gsum DESC) - 1 AS INTEGER) AS rank, gsum FROM (SELECT sum(c_acctbal) AS gsum FROM customer GROUP BY c_nationkey, c_mktsegment)),
+a(o, i, c) AS (VALUES {_fits(125, 12, 4, 0)}), b(o, i, c) AS (VALUES {_fits(125, 12, 4, 1)}),
+s AS (SELECT o AS rank, sum(c * gsum) AS smooth FROM a JOIN r ON r.rank = a.i GROUP BY 1), d AS (SELECT o AS rank, sum(c * smooth) AS slope FROM b JOIN s ON s.rank = b.i GROUP BY 1)
+SELECT r.rank, round(gsum, 4) AS gsum, round(smooth, 4) AS smooth, round(CASE WHEN smooth <> 0 THEN slope / smooth END, 6) AS slope FROM r JOIN s USING (rank) JOIN d USING (rank)""")
 def savgol_smooth(spark, sf):
     rows = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.sum("c_acctbal").alias("gsum"))
-    return ensemble.smoothed(rows.select((F.row_number().over(Window.orderBy(F.desc("gsum"))) - 1).alias("rank"), "gsum"))
+    out = ensemble.smoothed(rows.select((F.row_number().over(Window.orderBy(F.desc("gsum"))) - 1).alias("rank"), "gsum"))
+    return out.select("rank", F.round("gsum", 4).alias("gsum"), F.round("smooth", 4).alias("smooth"), F.round("slope", 6).alias("slope"))
 
 
 def _series(spark, sf):
@@ -453,34 +533,36 @@ def feature_significance(spark, sf):
     return r6(quality.significance(table(spark, sf, "part"), ["p_size", "p_retailprice"]), "significance")
 
 
+FEATURES = [f"f{i + 1}" for i in range(DIM)]
+
+
 def _cols(df: DataFrame, src: str) -> DataFrame:
-    return df.select(*[F.get(src, F.lit(i)).alias(f"f{i + 1}") for i in range(4)])
+    return df.select(*[F.get(src, F.lit(i)).alias(f"f{i + 1}") for i in range(DIM)])
 
 
-_VM = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, round(a.v / b.v, 6) AS ratio, round(a.m - b.m, 6) AS diff, round(sqrt(a.v / a.n + b.v / b.n), 6) AS se, a.n AS n_a, b.n AS n_b FROM (SELECT count(*) AS n, avg(f[{i}]) AS m, var_samp(f[{i}]) AS v FROM pts) a, (SELECT count(*) AS n, avg(w[{i}]) AS m, var_samp(w[{i}]) AS v FROM lat) b" for i in range(1, 5))
+_VM = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, round(a.v / b.v, 6) AS ratio, round(a.m - b.m, 6) AS diff, round(sqrt(a.v / a.n + b.v / b.n), 6) AS se, a.n AS n_a, b.n AS n_b FROM (SELECT count(*) AS n, avg(f[{i}]) AS m, var_samp(f[{i}]) AS v FROM pts) a, (SELECT count(*) AS n, avg(w[{i}]) AS m, var_samp(w[{i}]) AS v FROM lat) b" for i in range(1, DIM + 1))
 
 
-@register(f"WITH {LAT}, {PTS} {_VM}")
+@register(f"WITH {LAT} {_VM}")
 def embed_vm_ratio(spark, sf):
-    return r6(quality.variance_mean(_cols(pts(spark, sf), "f"), _cols(lat(spark, sf), "w"), ["f1", "f2", "f3", "f4"]), "ratio", "diff", "se")
+    return r6(quality.variance_mean(_cols(pts(spark, sf), "f"), _cols(lat(spark, sf), "w"), FEATURES), "ratio", "diff", "se")
 
 
-_KS = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, f[{i}] AS v, 1 AS s FROM pts UNION ALL SELECT 'f{i}', w[{i}], 0 FROM lat" for i in range(1, 5))
+_KS = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, f[{i}] AS v, 1 AS s FROM pts UNION ALL SELECT 'f{i}', w[{i}], 0 FROM lat" for i in range(1, DIM + 1))
 
 
-@register(f"WITH {LAT}, {PTS}, u AS ({_KS}), g AS (SELECT feature, v, sum(s) AS a, sum(1 - s) AS b FROM u GROUP BY 1, 2), c AS (SELECT feature, abs(sum(a) OVER (PARTITION BY feature ORDER BY v) / (SELECT count(*) FROM pts) - sum(b) OVER (PARTITION BY feature ORDER BY v) / (SELECT count(*) FROM lat)) AS d FROM g) SELECT feature, round(max(d), 6) AS d FROM c GROUP BY 1")
+@register(f"WITH {LAT}, u AS ({_KS}), g AS (SELECT feature, v, sum(s) AS a, sum(1 - s) AS b FROM u GROUP BY 1, 2), c AS (SELECT feature, abs(sum(a) OVER (PARTITION BY feature ORDER BY v) / (SELECT count(*) FROM pts) - sum(b) OVER (PARTITION BY feature ORDER BY v) / (SELECT count(*) FROM lat)) AS d FROM g) SELECT feature, round(max(d), 6) AS d FROM c GROUP BY 1")
 def embed_ks_stat(spark, sf):
-    return r6(quality.ks_statistic(_cols(pts(spark, sf), "f"), _cols(lat(spark, sf), "w"), ["f1", "f2", "f3", "f4"]), "d")
+    return r6(quality.ks_statistic(_cols(pts(spark, sf), "f"), _cols(lat(spark, sf), "w"), FEATURES), "d")
 
 
 @register()
 def convergence_index(spark, sf):
     p, n = pts(spark, sf), lat(spark, sf)
-    cols = ["f1", "f2", "f3", "f4"]
+    cols = FEATURES
     topo = bmu.topographic_accuracy(p, n, X).first()["accuracy"]
     vm, ks = quality.embedding_accuracy(_cols(p, "f"), _cols(n, "w"), cols), quality.embedding_accuracy_ks(_cols(p, "f"), _cols(n, "w"), cols)
-    hits = bmu.best_matches(p, n, 2).groupBy("point_id").agg(F.max(F.when(F.col("rank") == 1, F.col("d2"))).alias("d2"))
-    low, high = quality.bootstrap_interval(hits, "d2")
+    low, high = quality.bootstrap_interval(bmu.best_matches(p, n), "d2")
     return spark.createDataFrame([(float(vm), float(ks), float(topo), quality.convergence(vm, topo), low, high)], "embed_vm double, embed_ks double, topo double, convergence double, d2_low double, d2_high double")
 
 
@@ -494,9 +576,8 @@ def marginal_histogram(spark, sf):
  nm AS (SELECT cn.*, pr.pred FROM cn JOIN pr ON cn.cluster_id = pr.cluster_id), sz AS (SELECT label, sum(n) AS size, sum(CASE WHEN pred = label THEN n ELSE 0 END) AS tp FROM nm GROUP BY 1), ca AS (SELECT pred, sum(n) AS called FROM nm GROUP BY 1)
  SELECT sz.label, CAST(tp AS BIGINT) AS tp, CAST(coalesce(called, 0) - tp AS BIGINT) AS fp, CAST(size - tp AS BIGINT) AS fn, round(CASE WHEN coalesce(called, 0) > 0 THEN tp / called ELSE 0.0 END, 6) AS prec, round(tp / size, 6) AS recall FROM sz LEFT JOIN ca ON ca.pred = sz.label""")
 def accuracy_precision_recall(spark, sf):
-    p = pts(spark, sf)
-    lab = bmu.label_points(bmu.project(p, lat(spark, sf), X), lattice_maps.lattice_clusters(cents(spark, sf)))
-    return r6(bmu.accuracy(lab, p), "prec", "recall")
+    lab = bmu.label_points(bmu.project(pts(spark, sf), lat(spark, sf), X, ["label"]), lattice_maps.lattice_clusters(cents(spark, sf)), ["label"])
+    return r6(bmu.accuracy(lab), "prec", "recall")
 
 
 # -- fields
@@ -572,9 +653,27 @@ def grid_convolve(spark, sf):
     return r6(grid.convolve(cube(spark), "v", 8), "v")
 
 
+@register(f"WITH {CUBE}, bl AS (SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, avg(v) AS v FROM cells GROUP BY 1, 2, 3), o AS (SELECT a.d AS a, b.d AS b, c.d AS c FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d), (VALUES (-1), (0), (1)) c(d)), cv AS (SELECT (i + a + 4) % 4 AS i, (j + b + 4) % 4 AS j, (k + c + 4) % 4 AS k, sum(v) / 27 AS v FROM bl, o GROUP BY 1, 2, 3) SELECT c.i, c.j, c.k, round(cv.v, 6) AS v FROM cells c JOIN cv ON cv.i = c.i // 2 AND cv.j = c.j // 2 AND cv.k = c.k // 2")
+def grid_coarse_convolution(spark, sf):
+    return r6(grid.coarse_convolution(cube(spark), "v", 8, 2), "v")
+
+
+@register("SELECT CAST(id // 64 AS INTEGER) AS i, CAST(id // 8 % 8 AS INTEGER) AS j, CAST(id % 8 AS INTEGER) AS k, round((id % 31) / (1.6 * 2 * 4 * 27), 6) AS rho, CAST(id % 7 AS DOUBLE) AS jx, round((id % 5) / 0.25, 6) AS bx FROM range(512) r(id)")
+def grid_read_box(spark, sf):
+    """A box stored as one flat array for each field, with physical norms."""
+    path = shared_path(spark, "box")
+    names = {"rho": 31, "jx": 7, "bx": 5}
+    flat = [F.array_sort(F.collect_list(F.struct("id", (F.col("id") % m).cast("double").alias("v"))))["v"].alias(c) for c, m in names.items()]
+    spark.range(512).agg(*flat).write.parquet(path)
+    box = grid.read_box(spark.read.parquet(path), (8, 8, 8), list(names))
+    return r6(grid.normalised(box, list(names), grid.Units(ppc=4, stride=3, charge=-1.6, cfl=0.45, b0=0.25)), *names)
+
+
 @register()
 def grid_directional_convolution(spark, sf):
-    return grid.directional(cube(spark), "v")
+    """Rotated 19 x 19 kernels along the gradient of the field itself."""
+    g = grid.gradient(cube(spark), "v")
+    return grid.directional(g.withColumns({"n_j": F.col("g_j"), "n_k": F.col("g_k")}), "v", *grid.edge_kernels(19))
 
 
 # -- text forms and streams
@@ -608,20 +707,22 @@ def field_file_name(spark, sf):
     return spark.createDataFrame([(["rho", "jz", "j_par", "bx"], 2800)], "n array<string>, s int").select(L.field_file_name(F.col("n"), F.col("s")).alias("name"))
 
 
-@register(f"WITH {LAT}, {PTS}, {BMU} SELECT point_id, node, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(d2, 6) AS d2 FROM bm")
+@register(f"WITH {LAT}, {BMU} SELECT point_id, node, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(d2, 6) AS d2 FROM bm")
 def stream_score(spark, sf):
     """The points as a stream (all files, one trigger), scored and read back from the sink."""
     import uuid
 
-    spark.sparkContext.setJobDescription("stream_score")
-    schema = table(spark, sf, "embeddings").schema
-    path = f"{sf}/embeddings.parquet"
-    name = f"stream_score_{uuid.uuid4().hex}"
-    src = spark.readStream.schema(schema).parquet(path if _is_dir(spark, path) else f"{sf}/embeddings*.parquet")
-    p = src.select(F.col("vec_id").alias("point_id"), F.slice("embedding", 1, 4).cast("array<double>").alias("f"))
-    q = score.score_stream(p, lat(spark, sf), X).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    src = _stream(spark, sf, "embeddings")
+    p = src.select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("f"))
+    path = shared_path(spark, "scores")
+    q = score.score_stream(p, lat(spark, sf), X).writeStream.format("parquet").option("path", path).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return r6(spark.table(name), "d2")
+    return r6(spark.read.schema("point_id long, node int, x int, y int, d2 double").parquet(path), "d2")
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    path = f"{sf}/{name}.parquet"
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(path if _is_dir(spark, path) else f"{sf}/{name}*.parquet")
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
@@ -631,16 +732,19 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 @register(f"WITH {PTS}, ev AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, CAST(event_id % 5 AS INTEGER) AS cluster_id FROM events) SELECT CAST(day AS VARCHAR) AS day, cluster_id, count(*) AS n FROM ev GROUP BY 1, 2")
 def stream_window_counts(spark, sf):
-    e = table(spark, sf, "events").select("ts", (F.col("event_id") % 5).cast("int").alias("cluster_id"))
-    return score.windowed_counts(e).select(F.to_date("window.start").cast("string").alias("day"), "cluster_id", "n")
+    """The events as a stream; each trigger writes the counts of all windows so far."""
+    e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5).cast("int").alias("cluster_id"))
+    path = shared_path(spark, "counts")
+    counts = score.windowed_counts(e).select(F.to_date("window.start").cast("string").alias("day"), "cluster_id", "n")
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("day string, cluster_id int, n long").parquet(path)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Scale, train by batches, project, U-matrix, centroids, clusters, labels, histogram of labels."""
-    p = pts(spark, sf)
-    wide = p.select("point_id", "label", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(4)])
-    scaled = scaling.two_sigma(wide, [f"f{i}" for i in range(4)]).select("point_id", "label", F.array(*[f"f{i}" for i in range(4)]).alias("f"))
+    wide = pts(spark, sf).select("point_id", "label", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(DIM)])
+    scaled = scaling.two_sigma(wide, [f"f{i}" for i in range(DIM)]).select("point_id", "label", F.array(*[f"f{i}" for i in range(DIM)]).alias("f"))
     trained = train.train_batch(scaled, X, Y, [4, 3, 2])
-    clusters = lattice_maps.lattice_clusters(lattice_maps.centroids(lattice_maps.umatrix(trained)))
-    labels = bmu.label_points(bmu.project(scaled, trained, X), clusters)
-    return labels.join(p.select("point_id", "label"), "point_id").groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
+    labels = bmu.label_points(bmu.project(scaled, trained, X, ["label"]), lattice_maps.assign_clusters(trained), ["label"])
+    return labels.groupBy("cluster_id", "label").agg(F.count("*").alias("n"))

@@ -51,21 +51,32 @@ def read_lattice(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/lattice"), json.loads(spark.read.json(f"{path}/meta").first()[0])
 
 
+def write_snapshots(trained: DataFrame, path: str) -> None:
+    """Lattices by training step, a folder for each."""
+    trained.write.mode("overwrite").partitionBy("epoch").parquet(path)
+
+
+def write_combined(combined: DataFrame, path: str) -> None:
+    """The combined maps, a folder for each cluster of the ensemble."""
+    combined.write.mode("overwrite").partitionBy("sce_cluster").parquet(path)
+
+
 def parse_gsum(lines: DataFrame) -> DataFrame:
-    """``run_id, run_order, cluster_id, gsum`` of ``lines(line_no, line)``.
+    """``run_id, run_order, cluster_id, gsum`` of ``lines(line_no, line)``, and of each ``file`` if there is one.
 
     A value line is a cluster number and a number, in any notation; any other line names a run.
     """
+    file = ["file"] if "file" in lines.columns else []
     value = F.col("line").rlike(r"^\s*\d+\s+[-+0-9.eE]+\s*$")
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     at = lines.where(F.length(F.trim("line")) > 0).withColumn("v", value)
     at = at.withColumn("run_id", F.last(F.when(~F.col("v"), F.trim("line")), True).over(w)).withColumn("run_order", F.sum((~F.col("v")).cast("int")).over(w))
     parts = F.split(F.trim("line"), r"\s+")
-    return at.where("v").select("run_id", F.col("run_order").cast("int").alias("run_order"), parts[0].cast("int").alias("cluster_id"), parts[1].cast("double").alias("gsum"))
+    return at.where("v").select(*file, "run_id", F.col("run_order").cast("int").alias("run_order"), parts[0].cast("int").alias("cluster_id"), parts[1].cast("double").alias("gsum"))
 
 
 def read_gsum(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return parse_gsum(whole)
 
 
