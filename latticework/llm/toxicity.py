@@ -10,7 +10,7 @@ one weight that all share, and for each what it differs from that by. Features t
 not hold keep the shared weight of their ratio.
 
 The regression is fitted on the driver on a bounded sample of labelled rows: ``sample`` rows of each
-class at most, in the order of a hash of the id, as long as the rows before have fewer than
+class at most, in the order of a hash of the id, as long as those before have fewer than
 ``sample_features`` features together. Classes count by their share of all rows. Scores come from the
 whole text.
 
@@ -182,9 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
 
     # at most ``2 * sample`` ids, so the broadcast is bounded, and so is the table (rows that repeat an id aside)
     made = Table(texts.join(F.broadcast(few), "doc_id").select("y", "k", "doc_id", "text").mapInArrow(present, "y int, k int, doc_id long, n long, cols binary"), "sample").df
-    before = Window.orderBy("k", "y", "doc_id", "n", F.xxhash64("cols")).rowsBetween(Window.unboundedPreceding, -1)
-    # both classes in turn; the window holds the sample's numbers of features alone
-    chosen = made.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < sample_features)
+    # both classes in turn, as far as the features go; the window holds two numbers for each rank
+    ranks = made.groupBy("k").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = ranks.where(F.col("before") < sample_features).agg(F.max("k")).first()[0] or 0
+    chosen = made.where(F.col("k") <= last)
     rows = chosen.select("y", "cols").toArrow()
     y = rows["y"].to_numpy().astype(np.int64)
     sizes = [len(x) // 4 for x in rows["cols"].to_pylist()]
