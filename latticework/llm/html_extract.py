@@ -458,5 +458,7 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.join(known, "host", "left").select("page_id", "url", "host", "html", "wrapper")
     found = Table(keyed.mapInArrow(run, "page_id long, url string, host string, texts array<string>, places array<int>"), "texts").df
     own = F.transform("texts", lambda x, i: F.when(F.coalesce(F.array_contains("template", F.struct(F.get("places", i).alias("place"), F.xxhash64(x).alias("text"))), F.lit(False)), F.lit(None)).otherwise(x))
-    texts = found.join(template_texts(found), "host", "left").select("page_id", "url", F.array_join(own, "\n").alias("text"))
+    # a table of its own: where it is small the texts are not shuffled, otherwise hot hosts are split by AQE
+    template = Table(template_texts(found), "template").df
+    texts = found.join(template, "host", "left").select("page_id", "url", F.array_join(own, "\n").alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
