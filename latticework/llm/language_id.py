@@ -19,6 +19,7 @@ words, one text at least, so memory follows the longest text.
 
 from __future__ import annotations
 
+import sys
 from array import array
 from collections import Counter
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, text_or_empty, tidy, tuned
+from .common import held_out, text_or_empty, tidy, trim, tuned
 
 HASH_BITS, UNKNOWN, LEXICON_WINDOWS = 17, "und", 3
 
@@ -141,7 +142,7 @@ def chains(samples: list[tuple[str, str]], length: int = 64, seed: int = 7) -> t
     """Word and label chains that switch language after 4 to 24 words."""
     rng, parts = np.random.default_rng(seed), []
     for lang, text in samples:
-        words, at = text.lower().split(), 0
+        words, at = [sys.intern(w) for w in text.lower().split()], 0
         while at < len(words):
             size = int(rng.integers(4, 25))
             parts.append((lang, words[at : at + size]))
@@ -173,30 +174,39 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, l2: float = 1e-5, rate
         return crf
     lengths = np.asarray([len(s) for s in seqs])
     index: dict[str, int] = {}
-    types = np.asarray([index.setdefault(w, len(index)) for s in seqs for w in s])
+    types = np.asarray([index.setdefault(w, len(index)) for s in seqs for w in s], np.int32)
     number = {lang: i for i, lang in enumerate(langs)}
-    y = np.asarray([number[x] for s in labels for x in s])
-    idx, owner = crf.features(list(index))
-    used, inverse = np.unique(idx, return_inverse=True)
+    y = np.asarray([number[x] for s in labels for x in s], np.int8)
+    del labels
+    del seqs
+    kinds, parts = list(index), []
+    for at in range(0, len(kinds), 8192):
+        idx, owner = crf.features(kinds[at : at + 8192])
+        parts.append((idx.astype(np.int32), (owner + at).astype(np.int32)))
+    idx, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    used = np.flatnonzero(np.bincount(idx, minlength=len(crf.weights)))
+    place = np.zeros(len(crf.weights), np.int32)
+    place[used] = np.arange(len(used))
+    inverse = place[idx]
+    del idx, parts
     w, gw, gt, gs = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     first = np.cumsum(lengths) - lengths
     inside = np.ones(len(y), bool)
     inside[first] = False
     nxt = np.flatnonzero(inside)
-    truth = np.zeros((len(y), k))
-    truth[np.arange(len(y)), y] = 1
     pairs = np.zeros((k, k))
     np.add.at(pairs, (y[nxt - 1], y[nxt]), 1)
     n = len(y)
+    del inside, nxt
     for _ in range(rounds):
         pot = np.stack([np.bincount(owner, w[inverse, c], len(index)) for c in range(k)], 1)
-        gamma = crf.marginals(pot, types, lengths)
-        # expected transitions from the marginals of neighbours under the chain's own potentials
-        e = np.exp(pot - pot.max(1, keepdims=True))[types]
-        joint = _pair_marginals(crf, e, lengths, first)
-        diff = (gamma - truth) / n
+        diff, joint = _expectations(crf, np.exp(pot - pot.max(1, keepdims=True)), types, lengths, first)
+        diff[np.arange(n), y] -= 1
+        diff /= n
         by_type = np.stack([np.bincount(types, diff[:, c], len(index)) for c in range(k)], 1)
-        g = np.stack([np.bincount(inverse, by_type[owner, c], len(used)) for c in range(k)], 1) + l2 * w / n
+        g = l2 / n * w
+        for c in range(k):
+            g[:, c] += np.bincount(inverse, by_type[owner, c], len(used))
         dt, ds = (joint - pairs) / n, diff[first].sum(0)
         for value, grad, hist in ((w, g, gw), (crf.trans, dt, gt), (crf.start, ds, gs)):
             hist += grad * grad
@@ -205,27 +215,34 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, l2: float = 1e-5, rate
     return crf
 
 
-def _pair_marginals(crf: Crf, e: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum over neighbouring words of the probabilities of their pair of labels (equal-length chains aside)."""
-    k, a, total = e.shape[1], np.exp(crf.trans), np.zeros((e.shape[1],) * 2)
+def _expectations(crf: Crf, potentials: np.ndarray, types: np.ndarray, lengths: np.ndarray, first: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every word, and the probabilities of all pairs of neighbouring labels summed up.
+
+    Chains of one length are taken side by side, ``step`` at a time; ``potentials`` is [type, language].
+    """
+    k, a = potentials.shape[1], np.exp(crf.trans)
+    gamma, total = np.empty((len(types), k)), np.zeros((k, k))
     for size in np.unique(lengths):
-        if size < 2:
-            continue
-        rows = first[lengths == size]
-        x = np.stack([e[rows + t] for t in range(size)])
-        alpha, beta = np.empty_like(x), np.ones((len(rows), k))
-        alpha[0] = np.exp(crf.start) * x[0]
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
-        for t in range(1, size):
-            alpha[t] = (alpha[t - 1] @ a) * x[t]
-            alpha[t] /= alpha[t].sum(1, keepdims=True)
-        for t in range(size - 2, -1, -1):
-            right = beta * x[t + 1]
-            joint = alpha[t][:, :, None] * a[None] * right[:, None, :]
-            total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            beta = right @ a.T
-            beta /= beta.sum(1, keepdims=True)
-    return total
+        same = first[lengths == size]
+        for at in range(0, len(same), step):
+            rows = same[at : at + step]
+            x = potentials[types[rows + np.arange(size)[:, None]]]
+            alpha, beta = np.empty_like(x), np.ones((len(rows), k))
+            alpha[0] = np.exp(crf.start) * x[0]
+            alpha[0] /= alpha[0].sum(1, keepdims=True)
+            for t in range(1, size):
+                alpha[t] = (alpha[t - 1] @ a) * x[t]
+                alpha[t] /= alpha[t].sum(1, keepdims=True)
+            gamma[rows + size - 1] = alpha[size - 1]
+            for t in range(size - 2, -1, -1):
+                right = beta * x[t + 1]
+                joint = alpha[t][:, :, None] * a[None] * right[:, None, :]
+                total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                beta = right @ a.T
+                beta /= beta.sum(1, keepdims=True)
+                own = alpha[t] * beta
+                gamma[rows + t] = own / own.sum(1, keepdims=True)
+    return gamma, total
 
 
 def sample_windows(docs: DataFrame, per_lang: int, window: int) -> list[tuple[str, str]]:
@@ -234,7 +251,7 @@ def sample_windows(docs: DataFrame, per_lang: int, window: int) -> list[tuple[st
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(1.2 * per_lang / n)) for lang, n in sorted(counts.items())])
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / n)) for lang, n in sorted(counts.items())])
     draw = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1_000_003)) / 1_000_003.0
 
     def cut(batches):
@@ -254,7 +271,9 @@ def sample_windows(docs: DataFrame, per_lang: int, window: int) -> list[tuple[st
 
 def train(docs: DataFrame, per_lang: int = 1500, window: int = 64) -> Crf:
     tuned(docs.sparkSession)
-    return fit(sample_windows(docs, per_lang, window))
+    model = fit(sample_windows(docs, per_lang, window))
+    trim()
+    return model
 
 
 def _label(crf: Crf, texts: list[str | None], step: int = 100_000):
