@@ -47,8 +47,7 @@ DOC = ["d", "th"]
 
 def _words(text: Column) -> Column:
     """Runs of letters and digits; points and commas inside a number are left out."""
-    for _ in range(2):  # twice, since a digit may stand between two of them
-        text = F.regexp_replace(text, "([0-9])[.,]([0-9])", "$1$2")
+    text = F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", "")
     return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
