@@ -11,6 +11,7 @@ from __future__ import annotations
 import contextvars
 import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -46,22 +47,23 @@ def trim() -> None:
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 
-def tidy(run: Callable) -> Callable:
+def tidy(run: Callable, every: float = 0.25) -> Callable:
     """A function over Arrow batches whose worker gives free memory back between batches and at the end.
 
     Workers are used again by later tasks of any operator; what one leaves to its allocators would
-    add up with what the next one needs.
+    add up with what the next one needs. Where batches follow fast, it is done ``every`` so many seconds.
     """
 
     @functools.wraps(run)
     def wrapped(batches):
-        import pyarrow as pa
-
+        last = time.monotonic()
         try:
             for batch in run(batches):
                 yield batch
                 del batch
-                pa.default_memory_pool().release_unused()
+                if time.monotonic() - last > every:
+                    trim()
+                    last = time.monotonic()
         finally:
             trim()
 

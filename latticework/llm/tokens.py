@@ -78,7 +78,7 @@ class Encoder:
     bytes are not held, so the look-up is bounded in bytes too.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000, longest: int = 63, at_once: int = 8_000):
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 63, at_once: int = 8_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
